@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .langid import op10_language_id
+from .packing import op9_packing
 from .simhash import op6_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op6_simhash_dedup,)}
+QUERIES = {f.__name__: f for f in (op6_simhash_dedup, op9_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
