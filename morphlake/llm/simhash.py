@@ -43,16 +43,18 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; a null text is as an empty one."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep` and fp (the fingerprint as a signed long) of each row; a null text
+    is as an empty one."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t or b"") for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            *rest, texts = b.columns
+            fps = np.fromiter((fingerprint(t or b"") for t in texts.to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(fps.view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, ", ".join([*kinds, "fp long"]))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 11) -> list[int]:
@@ -121,8 +123,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return two.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns of `keep`, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id reachable over links of fingerprints that differ in `radius`
     or fewer bits; equal fingerprints are linked. Null and empty texts have fingerprint zero, which
@@ -132,7 +134,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     # what follows reads the fingerprints several times: written once
-    fps = materialize(fingerprints(docs), "fps")
+    fps = materialize(fingerprints(docs, keep), "fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     links = fingerprint_links(distinct, radius)
     # nodes are the fingerprints; the component's smallest doc_id comes after
@@ -143,7 +145,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = rooted.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("low"))
     linked = rooted.join(least, "root").select("fp", "low")
     ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(ids, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
