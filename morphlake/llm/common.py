@@ -75,3 +75,22 @@ def summed(parts: DataFrame, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["key", "vec"])
 
     return parts.repartition(tasks, "key").mapInArrow(run, "key long, vec binary")
+
+
+def split_words(texts, lower: bool = False):
+    """(words, index, sizes) of an Arrow array of UTF-8 texts: the distinct words as bytes, the place of
+    each word of the texts among them, and the words of each text. Words are runs without ASCII white
+    space; with `lower`, A-Z are lower-cased; a null text has none."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.view(pa.string()).fill_null("")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    sizes, flat = pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at an end leaves an empty word
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        sizes, flat = np.bincount(of[full], minlength=len(sizes)), flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes

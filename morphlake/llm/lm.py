@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, summed, table
+from .common import fold, materialize, small_batches, split_words, summed, table
 from .words import END, word_counts
 
 #: Words with a row of their own in every task's memory: the most frequent ones. Others are joined.
@@ -150,16 +150,15 @@ class Lexicon(dict):
         self.new.append(word)
         return place
 
-    def places(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all tokens, ends included, and the tokens of each text."""
         if len(self.new) > MEMORY:
             for w in self.new:
                 del self[w]
             self.new, self.cls = [], self.head
-        end = [END]
-        split = [(t or b"").lower().split() + end for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.fromiter((i for s in split for i in map(self.__getitem__, s)), np.int64, int(sizes.sum()))
+        words, index, sizes = split_words(texts, lower=True)
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))[index]
+        ids, sizes = np.insert(ids, np.cumsum(sizes), self[END]), sizes + 1
         if len(self.cls) < len(self):
             fresh = [self.vocab.class_of(w) for w in self.new[len(self.cls) - self.base :]]
             self.cls = np.concatenate([self.cls, np.array(fresh, np.int16)])
@@ -208,14 +207,14 @@ def train(docs: DataFrame, vocab, totals: np.ndarray, seed: int = 7) -> Model:
     texts = [(t or "").encode() for _, t in sorted((r["h"], r["text"] or "") for r in some.collect())]
     rng = np.random.default_rng(seed)
     for _ in range(WARM_EPOCHS if texts else 0):
-        model.train(*lex.contexts(*lex.places(texts)), rng)
+        model.train(*lex.contexts(*lex.places(pa.array(texts, pa.binary()))), rng)
     start = docs.sparkSession.sparkContext.broadcast((model.flat(), totals))
 
     def run(batches):
         own, words = Model(start.value[1]).load(start.value[0]), Lexicon(vocab.value)
         draw, seen = np.random.default_rng((seed, TaskContext.get().partitionId())), 0
         for b in batches:
-            found = words.contexts(*words.places(b.column(0).to_pylist()))
+            found = words.contexts(*words.places(b.column(0)))
             some = tuple(x[seen % STRIDE :: STRIDE] for x in found)
             own.train(*some, draw)
             seen += len(found[0])
@@ -261,7 +260,7 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
         lex, row = Lexicon(shared.value), TaskContext.get().partitionId() << 33
         head = np.log10(shared.value.counts + 0.5)
         for b in batches:
-            ids, sizes = lex.places(b.column(2).to_pylist())
+            ids, sizes = lex.places(b.column(2))
             c1, c2, t = lex.contexts(ids, sizes)
             known = ids < lex.base
             own = np.zeros(len(ids))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, summed, table
+from .common import fold, materialize, small_batches, split_words, summed, table
 from .words import word_counts
 
 #: Frequent words with a vector of their own; the others share one by the hash of their ending.
@@ -43,13 +43,12 @@ class Lexicon(dict):
         self[word] = row = HEAD + zlib.crc32(word[-ENDING:]) % ENDINGS
         return row
 
-    def rows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > len(self.head) + MEMORY:
             self.clear()
             self.update(zip(self.head, range(len(self.head)), strict=True))
-        split = [(t or b"").lower().split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter((i for s in split for i in map(self.__getitem__, s)), np.int64, int(sizes.sum())), sizes
+        words, index, sizes = split_words(texts, lower=True)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))[index], sizes
 
 
 def word_vectors(docs: DataFrame, head) -> np.ndarray:
@@ -60,7 +59,7 @@ def word_vectors(docs: DataFrame, head) -> np.ndarray:
         lex, (where, sign) = Lexicon(head.value), index_vectors()
         out = np.zeros(SIZE * DIM)
         for b in batches:
-            ids, sizes = lex.rows(b.column(0).to_pylist())
+            ids, sizes = lex.rows(b.column(0))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             for step in range(1, REACH + 1):
                 same = np.flatnonzero(doc[step:] == doc[:-step])
@@ -166,7 +165,7 @@ def _features(head, vectors, then):
         lex = Lexicon(head.value)
         for b in batches:
             *rest, texts = b.columns
-            yield then(rest, pooled(*lex.rows(texts.to_pylist()), vectors.value))
+            yield then(rest, pooled(*lex.rows(texts), vectors.value))
 
     return run
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import split_words
+
 #: A key no word can have: it stands for the end of a text.
 END = b" "
 #: Distinct words a task holds before it hands on what it counted.
@@ -26,8 +29,9 @@ def word_counts(docs: DataFrame, lower: bool = True, end: bool = False) -> DataF
     def run(batches):
         counts = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(((t or b"").lower() if lower else t or b"").split())
+            words, index, _ = split_words(b.column(0), lower)
+            for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                counts[w] += n
             if end:
                 counts[END] += b.num_rows
             if len(counts) > FLUSH:
