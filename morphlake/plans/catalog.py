@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, evidence, lookup, models, relational
 
-MODULES = (corpus,)
+MODULES = (corpus, lookup, relational, evidence, models)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
