@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,60 +13,91 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, split_words, table
 
 WINDOW = 2048
 #: Context sizes, largest first.
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 GROUPS = 8
-MEMORY = 200_000
+#: Words a task remembers, words encoded at once, and those of them in one string.
+MEMORY, CHUNK, JOINED = 300_000, 8192, 256
+#: What a word is cut before: ASCII marks but the apostrophe, which makes endings of its own.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer for which white space always ends a token and is dropped.
+    """Ids of texts by a tokenizer for which white space always ends a token and is dropped, which
+    lower-cases, takes letters and punctuation apart, and marks the last token of each piece.
 
-    Each distinct word is encoded once and remembered; texts are then gathered from the memory.
+    Each distinct word is worked out once and remembered; texts are then gathered from the memory. A
+    word is cut before the ASCII punctuation it ends with, so that its letters are encoded once whatever
+    follows them, and words of letters only are encoded many in one string, where the marks tell them apart.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocab = self.encoder.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.places: dict[bytes, int] = _Places()
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: dict[bytes, int] = _Places({b"": 0})
+        self.words, self.pieces = _Ids(), _Ids()
+        self.pieces.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _encode_parts(self) -> None:
+        fresh = list(self.parts)[len(self.pieces.sizes) :]
+        for at in range(0, len(fresh), CHUNK):  # an encoding holds far more than its ids
+            part = [w.decode("utf-8", "replace") for w in fresh[at : at + CHUNK]]
+            plain = [k for k, w in enumerate(part) if w.isalpha()]
+            joined = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+            found = self.encoder.encode_batch([" ".join(part[k] for k in ks) for ks in joined], add_special_tokens=False)
+            ids, sizes, order = [], [], []
+            for ks, e in zip(joined, found, strict=True):
+                got = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.last[got]) + 1
+                if len(ends) == len(ks):  # else a letter was taken apart: these are encoded alone
+                    ids.append(got)
+                    sizes.append(np.diff(ends, prepend=0))
+                    order += ks
+            alone = sorted(set(range(len(part))).difference(order))
+            got = [e.ids for e in self.encoder.encode_batch([part[k] for k in alone], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            self.pieces.add(np.concatenate(ids), np.concatenate(sizes), np.array(order + alone, np.int64))
 
     def _encode_new(self) -> None:
-        if fresh := list(self.places)[len(self.sizes) :]:
-            got = [e.ids for e in self.encoder.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not (fresh := list(self.places)[len(self.words.sizes) :]):
+            return
+        cores = [w.rstrip(PUNCTUATION) for w in fresh]
+        for k, (w, c) in enumerate(zip(fresh, cores, strict=True)):
+            if len(c) < len(w) and c and not (c[-1:].isalnum() if c[-1] < 128 else c.decode("utf-8", "replace")[-1].isalnum()):
+                cores[k] = w  # what stands before may join the punctuation
+        place = np.empty(2 * len(fresh), np.int64)
+        place[::2] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(fresh))
+        place[1::2] = np.fromiter((self.parts[w[len(c) :]] for w, c in zip(fresh, cores, strict=True)), np.int64, len(fresh))
+        self._encode_parts()
+        ids, sizes = self.pieces.gather(place)
+        self.words.add(ids, sizes[::2] + sizes[1::2])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, the end id after each text, and the ids of each text counted."""
         if len(self.places) > MEMORY:
             self._clear()
-        split = [t.split() for t in texts]
-        words = np.fromiter(map(len, split), np.int64, len(split))
-        place = np.fromiter((i for s in split for i in map(self.places.__getitem__, s)), np.int64, int(words.sum()))
+        found, index, words = split_words(texts, lower=True)
+        place = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))[index]
         self._encode_new()
-        of_word = self.sizes[place]
+        ids, of_word = self.words.gather(place)
         before = np.concatenate([[0], np.cumsum(of_word)])
         ends = np.cumsum(words)
-        sizes = before[ends] - before[ends - words] + 1
-        # where each word's ids go: one place more for every text that ended before
-        to = before[:-1] + np.repeat(np.arange(len(texts)), words)
-        out = np.full(int(sizes.sum()), END_ID, np.uint32)
-        n = int(before[-1])
-        step = np.arange(n) - np.repeat(before[:-1], of_word)
-        out[np.repeat(to, of_word) + step] = self.flat[np.repeat(self.starts[place], of_word) + step]
-        return out, sizes
+        return np.insert(ids, before[ends], END_ID), before[ends] - before[ends - words] + 1
 
 
 class _Places(dict):
@@ -73,6 +106,28 @@ class _Places(dict):
         return place
 
 
+class _Ids:
+    """Id lists of different lengths, end to end."""
+
+    def __init__(self):
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None) -> None:
+        """Appends lists; with `order`, the k-th of them stands at place order[k] of the new ones."""
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        if order is not None:
+            back = np.argsort(order)
+            starts, sizes = starts[back], sizes[back]
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at the places, end to end, and their lengths."""
+        sizes = self.sizes[place]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[place] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class Packer:
     """Packs pieces (doc, start, ids) into sequences; out gets a tuple for each piece laid down.
 
@@ -195,8 +250,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS) -
         kind_arrow, doc = [pa.int64()], 0
         for b in batches:
             kind_arrow[0] = b.column(0).type
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            ids, sizes = tokenizer.encode(texts)
+            ids, sizes = tokenizer.encode(b.column(1))
             ends = np.cumsum(sizes)
             for name, end, size in zip(b.column(0).to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
                 names[doc] = (name, size)
@@ -223,5 +277,5 @@ def tokenizer_path() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 1000)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
