@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, small_batches, split_words, summed, table
-from .words import END, word_counts
+from .words import END, frequent, word_counts
 
 #: Words with a row of their own in every task's memory: the most frequent ones. Others are joined.
-HEAD = 1 << 18
+HEAD = 1 << 17
 #: Classes: the end, the most frequent words, frequent endings of other words, hashed other endings.
 OWN, ENDINGS, HASHED = 255, 192, 64
 CLASSES = 1 + OWN + ENDINGS + HASHED
@@ -26,7 +26,7 @@ STRIDE = 6
 #: Bound of the first, driver-side round: rows and characters a row.
 WARM_ROWS, WARM_CHARS, WARM_EPOCHS = 600, 4_000, 3
 #: New words a task remembers at once.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def by_class(cls: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -125,15 +125,15 @@ class Vocabulary:
             yield k, w
 
 
-def vocabulary(counts: DataFrame, size: int = HEAD) -> Vocabulary:
-    """The `size` most frequent words, a fixed bound, and the endings most frequent among them."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+def vocabulary(counts: DataFrame, size: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+    """The most frequent words, `size` at most, with the endings most frequent among them; and the counts
+    of the other words."""
+    words, n, rest = frequent(counts, size)
     by_ending: dict[bytes, int] = {}
     for w, c in list(zip(words, n.tolist(), strict=True))[OWN + 1 :]:
         by_ending[w[-ENDING:]] = by_ending.get(w[-ENDING:], 0) + c
     best = sorted(by_ending, key=lambda e: (-by_ending[e], e))[:ENDINGS]
-    return Vocabulary(words, n, {e: 1 + OWN + k for k, e in enumerate(best)})
+    return Vocabulary(words, n, {e: 1 + OWN + k for k, e in enumerate(best)}), rest
 
 
 class Lexicon(dict):
@@ -247,7 +247,7 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     counts = materialize(word_counts(learned, end=True), "counts")
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
-    vocab = vocabulary(counts)
+    vocab, rest = vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocab)
     in_class, types = class_totals(counts, shared)
     model = train(learned, shared, in_class)
@@ -283,13 +283,6 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_own double, head_score double, tail array<struct<word: binary, times: bigint>>"
     scored = materialize(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema), "scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
-    # the rest of the vocabulary: what stands after the last frequent word in their order
-    rest = counts
-    if len(vocab.words) >= HEAD:
-        low, last = int(vocab.counts[-1]), F.lit(bytearray(vocab.words[-1]))
-        rest = counts.where((F.col("n") < low) | ((F.col("n") == low) & (F.col("word") > last)))
-    else:
-        rest = counts.where("false")
     joined = tail.join(rest, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = joined.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("own"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known")
@@ -302,6 +295,6 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 1000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, fold(F.col("doc_id"), 5) == 1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, small_batches, split_words, summed, table
-from .words import word_counts
+from .words import frequent, word_counts
 
 #: Frequent words with a vector of their own; the others share one by the hash of their ending.
 HEAD, ENDINGS, ENDING = 16_384, 2_048, 3
@@ -22,7 +22,7 @@ BLOCK = 512
 TRAIN_ROWS = 30_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 0.003, 1e-4
 THRESHOLD = 0.3
-MEMORY = 300_000
+MEMORY = 200_000
 FEATURES = 2 * DIM + 4
 
 
@@ -181,8 +181,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
     each. An empty table gives an empty one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    top = word_counts(docs.select("text")).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = spark.sparkContext.broadcast([bytes(r["word"]) for r in top])
+    counts = materialize(word_counts(docs.select("text")), "counts")
+    head = spark.sparkContext.broadcast(frequent(counts, HEAD)[0])
     vectors = spark.sparkContext.broadcast(word_vectors(docs.select("text"), head))
 
     # at most TRAIN_ROWS labels go out to the documents: by the hash of the id, then the first of those
@@ -208,6 +208,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 1000)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score_quality(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), fold(F.col("doc_id"), 5) == 0)

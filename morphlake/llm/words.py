@@ -42,3 +42,28 @@ def word_counts(docs: DataFrame, lower: bool = True, end: bool = False) -> DataF
 
     partial = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _band():
+    """Words of about equal count: bands a twentieth wide."""
+    return F.floor(F.log(F.col("n")) * 20).cast("int")
+
+
+def frequent(counts: DataFrame, size: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """At most `size` of the most frequent words, with their counts, by falling count; and the others.
+
+    Whole bands of counts are taken from the top as long as they fit, so that only a row a band and the
+    words taken come to the driver.
+    """
+    bands = sorted(((r["b"], r["n"]) for r in counts.groupBy(_band().alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    low, taken = None, 0
+    for band, n in bands:
+        if taken + n > size:
+            break
+        low, taken = band, taken + n
+    if low is None:
+        return [], np.zeros(0, np.int64), counts
+    top = counts.where(_band() >= low).toArrow()
+    words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
+    return [words[k] for k in order], n[order], counts.where(_band() < low)
