@@ -31,7 +31,11 @@ def rewrite_attempts(words: DataFrame, rules: DataFrame) -> DataFrame:
     """
     size = F.length("word")
     sizes = sorted(r["n"] for r in rules.where("operation = 'LITERAL'").select(F.length("before").alias("n")).distinct().collect())
-    spots = [F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda p, n=n: F.struct(p.alias("position"), F.lit(n).alias("removed")))) for n in sizes]
+
+    def spots_of(n: int) -> Column:  # a function of one parameter: a second one would be the index
+        return F.transform(F.sequence(F.lit(0), size - n), lambda p: F.struct(p.alias("position"), F.lit(n).alias("removed")))
+
+    spots = [F.when(size >= n, spots_of(n)) for n in sizes]
     columns = ["word", "rewrite_id", "priority", "reverse", "position", "removed", "replacement"]
     made = []
     if sizes:
@@ -93,16 +97,20 @@ class Analyzer:
         rows = self.core.analyze(forms.select("form", zero.alias("known"), zero.alias("long")).distinct())
         return forms.join(rows.drop("known", "long", "quantity_match"), "form").drop("form").withColumn("rewrites", F.array().cast("array<int>"))
 
-    def rewritten(self, words: DataFrame, kind: str, stage: str, syncope_too: bool) -> DataFrame:
-        """Rows of the first rewriting of each word that gives any its rule accepts."""
+    def rewritten(self, words: DataFrame, kind: str, stage: str, syncope_too: bool) -> DataFrame | None:
+        """Rows of the first rewriting of each word that gives any its rule accepts; None if no word can be
+        rewritten at all, which spares the core run."""
         rules = self.book.rewrites.where((F.col("kind") == kind) & (F.col("stage") == stage)).withColumnRenamed("kind", "rewrite_kind")
         if kind == "ORTHOGRAPHIC" and self.options.orthography == "classical":
             rules = rules.where("not medieval")
         attempts = materialize(rewrite_attempts(words.select("word").distinct(), rules), "attempts")
+        if not attempts.take(1):
+            return None
         spellings = attempts.select(F.col("rewritten").alias("word")).distinct()
         rows = self.lexical(spellings)
-        if syncope_too and self.options.syncope:
-            inner = materialize(self.rewritten(spellings.withColumn("word", F.translate("word", "jv", "iu")).distinct(), "SYNCOPE", "MAIN", False), "inner")
+        inner = self.rewritten(spellings.withColumn("word", F.translate("word", "jv", "iu")).distinct(), "SYNCOPE", "MAIN", False) if syncope_too and self.options.syncope else None
+        if inner is not None:
+            inner = materialize(inner, "inner")
             inner = spellings.select("word", F.translate("word", "jv", "iu").alias("u")).join(inner.withColumnRenamed("word", "u"), "u").drop("u")
             # a contraction that holds beats readings that all need an affix
             only = rows.groupBy("word").agg(F.bool_and(~no_addon()).alias("weak")).where("weak").join(inner.select("word").distinct(), "word", "left_semi").select("word")
@@ -131,30 +139,35 @@ class Analyzer:
         if o.orthography != "disabled":
             plain = rows.where(F.size("rewrites") == 0)
             early = without(plain.select(*q).unionByName(numerals.select(*q)))
-            found = self._answers(early, self.rewritten(early.select(F.col("orthography").alias("word")), "ORTHOGRAPHIC", "EARLY", True), "orthography", "orthography")
-            rows = materialize(rows.unionByName(found.select(*names)), "early")
+            found = self.rewritten(early.select(F.col("orthography").alias("word")), "ORTHOGRAPHIC", "EARLY", True)
+            if found is not None:
+                rows = materialize(rows.unionByName(self._answers(early, found, "orthography", "orthography").select(*names)), "early")
         if o.syncope:
             sum_verb = rows.join(self.book.lexemes.where("verb_kind = 'TO_BE'").select("lexeme_id"), "lexeme_id", "left_semi").where("kind = 'V'")
             single = rows.groupBy(*q).agg(F.count("*").alias("n"), F.bool_and(F.col("tackon_id").isNotNull() & plain_or_tackon()).alias("t")).where("n = 1 and t")
             open_ = without(sum_verb.select(*q).unionByName(single.select(*q)))
-            found = self._answers(open_, self.rewritten(open_.select(F.col("lookup").alias("word")), "SYNCOPE", "MAIN", False), "lookup", "syncope").select(*names)
-            found = materialize(found, "syncope")
-            weak = rows.groupBy(*q).agg(F.bool_and(~no_addon()).alias("w")).where("w").join(found.select(*q).distinct(), q, "left_semi").select(*q)
-            rows = materialize(rows.join(weak, q, "left_anti").unionByName(found), "contracted")
+            found = self.rewritten(open_.select(F.col("lookup").alias("word")), "SYNCOPE", "MAIN", False)
+            if found is not None:
+                found = materialize(self._answers(open_, found, "lookup", "syncope").select(*names), "syncope")
+                weak = rows.groupBy(*q).agg(F.bool_and(~no_addon()).alias("w")).where("w").join(found.select(*q).distinct(), q, "left_semi").select(*q)
+                rows = materialize(rows.join(weak, q, "left_anti").unionByName(found), "contracted")
         if o.tackons and o.orthography != "disabled":
             strong = (F.size("rewrites") > 0) | no_addon() | F.col("suffix_id").isNotNull() | (F.col("tackon_id").isNotNull() & F.col("prefix_id").isNull())
             open_ = without(rows.where(strong).select(*q).unionByName(numerals.select(*q)))
-            found = materialize(self._enclitic_respelled(open_).select(*names), "respelled")
-            rows = materialize(rows.join(found.select(*q).distinct(), q, "left_anti").unionByName(found), "enclitics")
+            found = self._enclitic_respelled(open_)
+            if found is not None:
+                found = materialize(found.select(*names), "respelled")
+                rows = materialize(rows.join(found.select(*q).distinct(), q, "left_anti").unionByName(found), "enclitics")
         if o.orthography != "disabled":
             left = without(rows.select(*q).unionByName(numerals.select(*q)))
-            found = self._answers(left, self.rewritten(left.select(F.col("orthography").alias("word")), "ORTHOGRAPHIC", "FALLBACK", True), "orthography", "orthography")
-            rows = rows.unionByName(found.select(*names))
+            found = self.rewritten(left.select(F.col("orthography").alias("word")), "ORTHOGRAPHIC", "FALLBACK", True)
+            if found is not None:
+                rows = rows.unionByName(self._answers(left, found, "orthography", "orthography").select(*names))
         numeral = numerals.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in names if c not in q}).withColumns({"stage": F.lit("roman"), "kind": F.lit("NUM")})
         out = rows.withColumn("roman", F.lit(None).cast("long")).unionByName(numeral)
         return materialize(self.assess(out), "readings")
 
-    def _enclitic_respelled(self, questions: DataFrame) -> DataFrame:
+    def _enclitic_respelled(self, questions: DataFrame) -> DataFrame | None:
         """Without an enclitic the base is a known word spelled otherwise: the first enclitic that helps."""
         rules = self.book.tackons.where("enclitic and not packon")
         longest = self.core.longest["tackons"]
@@ -162,6 +175,8 @@ class Analyzer:
         cut = questions.where("length(lookup) > 1").select("*", k).withColumn("fix", F.expr("right(lookup, k)")).join(rules.select("fix", F.col("addon_id").alias("tack")), "fix")
         cut = materialize(cut.withColumn("word", F.expr("left(orthography, length(orthography) - k)")), "bases")
         rows = self.rewritten(cut.select("word").distinct(), "ORTHOGRAPHIC", "EARLY", True)
+        if rows is None:
+            return None
         met = cut.join(rows, "word").withColumns({"tackon_id": F.col("tack"), "stage": F.lit("orthography_tackon"), "quantity_match": F.when(F.col("known") == 0, "unspecified").otherwise("unknown")})
         return first_success(met, QUESTION, ["tack"])
 

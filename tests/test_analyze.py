@@ -13,7 +13,7 @@ from morphlake.sources import grammar
 
 WORDS = (
     "puella puellam puellamque rosae regem bonus melior maxime amat amabat amavisti amasti implessem audii quis cuius aliquis quicumque quidam ecquis poetane adportat "
-    "amator puellulam inplet puelle rossa poëta xiv poetha resmagna hortat hortatur duc reg pluunt audetur iam pulchralius dominusque saepe in puellā puellă rōsa"
+    "audit amator puellulam inplet puelle rossa poëta xiv poetha resmagna hortat hortatur duc reg pluunt audetur iam pulchralius dominusque saepe in puellā puellă rōsa"
 ).split()
 
 
@@ -61,9 +61,8 @@ def test_regular(readings):
     assert {r["governs"] for r in readings["in"]} == {"ABL"}
 
 
-def test_fourth_conjugation_is_shown_as_such(readings, spark, book):
-    rows = Analyzer(book).analyze(questions(spark, ["audit"])).where("kind = 'V' and tense = 'PRES'").collect()
-    assert {(r["declension"], r["variant"]) for r in rows} == {(4, 1)}
+def test_fourth_conjugation_is_shown_as_such(readings):
+    assert {(r["declension"], r["variant"]) for r in readings["audit"] if r["tense"] == "PRES"} == {(4, 1)}
 
 
 def test_enclitic(readings):
@@ -111,25 +110,25 @@ def test_marked_vowels(readings):
     assert "rōsa" not in readings or not {r["stage"] for r in readings["rōsa"]} & {"regular"}
 
 
-def test_trim(readings, spark, book):
+def test_trim(spark, readings):
     assert ["deponent_active_form"] in [r["trim"] for r in readings["hortat"]]
     assert all(r["trim"] == [] for r in readings["hortatur"])
     assert all(r["trim"] == [] for r in readings["duc"]) and any(r["trim"] == ["unsupported_short_imperative"] for r in readings["reg"])
     assert any("source_disagreement" in r["notices"] for r in readings["pluunt"])
     assert any("related_passive_usage_attested" in r["notices"] for r in readings["audetur"])
-    rows = Analyzer(book).analyze(questions(spark, ["hortat", "amat"]))
+    rows = spark.createDataFrame([("hortat", ["deponent_active_form"]), ("amat", [])], "normalized string, trim array<string>")
     assert {r["normalized"] for r in trimmed(rows, ["deponent_active_form"]).collect()} == {"amat"}
 
 
 @pytest.mark.parametrize(
-    ("options", "word"),
+    ("options", "words"),
     [
-        (Options(prefixes=False), "adportat"), (Options(suffixes=False), "puellulam"), (Options(tackons=False), "puellamque"), (Options(packons=False), "quicumque"),
-        (Options(tickons=False, prefixes=False), "ecquis"), (Options(syncope=False, orthography="disabled"), "amasti"), (Options(orthography="disabled"), "inplet"), (Options(orthography="classical"), "puelle"),
+        (Options(prefixes=False, tackons=False), ["adportat", "puellamque"]), (Options(suffixes=False, packons=False, tickons=False), ["puellulam", "quicumque", "ecquis"]),
+        (Options(syncope=False, orthography="disabled"), ["amasti", "inplet"]), (Options(orthography="classical"), ["puelle"]),
     ],
 )
-def test_switch(spark, book, options, word):
-    assert Analyzer(book, options).analyze(questions(spark, [word])).count() == 0
+def test_switches(spark, book, options, words):
+    assert Analyzer(book, options).analyze(questions(spark, words)).count() == 0
 
 
 def test_two_words(spark, book):
@@ -159,3 +158,18 @@ def test_surface():
     t = tokenize("Arma, virum—cano!")
     assert [x.text for x in t] == ["Arma", "virum", "cano"] and t[0].boundary == BOUNDARIES["comma"] + BOUNDARIES["whitespace"] and t[1].boundary == BOUNDARIES["dash"]
     assert t[2].begin == 14
+
+
+def test_dictionary(spark, book):
+    from morphlake.operators import dictionary
+
+    forms = {r["form"] for r in dictionary.dictionary_form(book).collect()}
+    assert {"puella, puellae f", "bonus, bona, bonum", "amo, amare, amaui, amatus", "hortor, hortari, hortatus sum", "et"} <= forms
+    index = dictionary.gloss_index(book)
+    asked = spark.createDataFrame([("girl", "X"), ("WARN", "V"), ("warn", "N")], "word string, part string")
+    lemma = {r["lexeme_id"]: r["lemma"] for r in lines.citation_lemma(book).collect()}
+    assert {(r["word"], lemma[r["lexeme_id"]]) for r in dictionary.reverse_lookup(index, asked).collect()} == {("girl", "puella"), ("warn", "moneo")}
+    near = dictionary.neighbours(book, spark.createDataFrame([("puelx",)], "form string")).collect()
+    assert {(r["stem"], r["after"]) for r in near} == {("puell", False), ("puer", True)}
+    rows = spark.createDataFrame([("a", "A", "X"), ("a", "F", "X"), ("b", "F", "X")], "q string, freq string, age string")
+    assert sorted((r["q"], r["freq"]) for r in dictionary.swept(rows, ["q"], ["F"], ["H"]).collect()) == [("a", "A"), ("b", "F")]
