@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import fold, materialize, small_batches, table
+from morphlake.llm.common import fold, lean, materialize, small_batches, table
 from morphlake.llm.langid import learn, predict
 from morphlake.llm.mixing import mix
 from morphlake.llm.packing import pack_documents, tokenizer_path
@@ -17,6 +17,8 @@ from morphlake.llm.simhash import simhash_components
 SURE = 0.9
 #: Words of the mix an output shard gets, about.
 SHARD_WORDS = 4_000_000
+#: Rows of a batch: they carry all columns through Python.
+ROWS = 500
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ KEY = ["__k1", "__k2"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those surely in another language than `lang` says. Rows with
     a null lang stay. Null texts go."""
-    small_batches(spark)
+    small_batches(spark, ROWS)
     columns = docs.columns
     samples = learn(docs.where(fold(F.col("doc_id"), 3) != 1))
     found = predict(docs, samples, tuple(c for c in columns if c != "doc_id"))
@@ -41,7 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the quality classifier predicts label 0 for; it learns from `labels`."""
-    small_batches(spark)
+    small_batches(spark, ROWS)
     columns = docs.columns
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     found = score_quality(docs, labels, fold(F.col("doc_id"), 5) == 0, tuple(c for c in columns if c != "doc_id"))
@@ -55,13 +57,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one text of an id whose several texts are near copies of each other
     kept = kept.groupBy("doc_id", "fingerprint").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    small_batches(spark, ROWS)
     return rows.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, dealt into shards and ordered within: one row for each run of words taken of a
     document. A text taken whole is unchanged; of a cut one the row has the run, and n_chars is its length."""
-    small_batches(spark)
     columns = docs.columns
     words = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(16, -(-words // 6 // SHARD_WORDS))
@@ -70,6 +72,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = F.sort_array(F.collect_list(F.struct("pass", "start", "words", "shard", "place"))).alias("__spans")  # a few a block of the text
     plan = mixed.select("row", *KEY).join(pieces, "row").groupBy(*KEY).agg(spans)
     met = rows.dropDuplicates(KEY).join(plan, KEY).select(*columns, "__spans")
+    small_batches(spark, ROWS)
     text_at, chars_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def cut(batches):
@@ -88,7 +91,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*columns, "__shard", "__place"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    out = met.mapInArrow(cut, ", ".join([*kinds, "__shard int", "__place long"]))
+    out = met.mapInArrow(lean(cut), ", ".join([*kinds, "__shard int", "__place long"]))
     return out.repartition("__shard").sortWithinPartitions("__shard", "__place").select(*columns)
 
 
@@ -116,7 +119,7 @@ def runs(text: str, spans: list[dict]) -> list[tuple[str, int, int]]:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all texts into sequences; one row per piece."""
-    small_batches(spark)
+    small_batches(spark, ROWS)
     return pack_documents(docs, tokenizer_path())
 
 

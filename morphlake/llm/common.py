@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize as materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,36 +25,6 @@ def fold(column, modulus: int):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one of our own where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="morphlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and a lost executor costs nothing.
-
-    The files go when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/morphlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended already
-        pass
-
-
 def summed(parts: DataFrame, tasks: int) -> DataFrame:
     """(key long, vec binary of float64): the sum of the vectors of each key, added as they stream by."""
     import numpy as np
@@ -94,3 +62,28 @@ def split_words(texts, lower: bool = False):
         sizes, flat = np.bincount(of[full], minlength=len(sizes)), flat.filter(pa.array(full))
     coded = flat.dictionary_encode()
     return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes
+
+
+def lean(run):
+    """The function over batches, which hands memory it no longer needs back to the system when it ends:
+    Python workers live on for other tasks."""
+    import functools
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_batches, table
+from .common import WORD, lean, materialize, small_batches, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), shards: int = SHARDS, block
     table gives empty ones. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     read = docs.select("doc_id", "source", *keep, size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("o1"), F.xxhash64("text").alias("o2"))
     read = materialize(read.withColumn("row", F.monotonically_increasing_id()), "sizes")
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), shards: int = SHARDS, block
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32()], strict=True)], names=names)
 
     names = ["row", "pass", "block", "start", "words", "draw", "shard"]
-    pieces = at.select("row", "src", "at", "size").mapInArrow(cut, "row long, pass int, block long, start long, words long, draw long, shard int")
+    pieces = at.select("row", "src", "at", "size").mapInArrow(lean(cut), "row long, pass int, block long, start long, words long, draw long, shard int")
     pieces = pieces.withColumn("place", F.xxhash64(F.lit(seed), "row", "pass", "block"))
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     out = at.join(taken, "row", "left").select("doc_id", *keep, "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

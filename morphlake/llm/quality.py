@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, split_words, summed, table
+from .common import fold, lean, materialize, small_batches, split_words, summed, table
 from .words import frequent, word_counts
 
 #: Frequent words with a vector of their own; the others share one by the hash of their ending.
@@ -22,7 +22,7 @@ BLOCK = 512
 TRAIN_ROWS = 30_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 0.003, 1e-4
 THRESHOLD = 0.3
-MEMORY = 200_000
+MEMORY = 80_000
 FEATURES = 2 * DIM + 4
 
 
@@ -71,7 +71,7 @@ def word_vectors(docs: DataFrame, head) -> np.ndarray:
         keys = np.arange(len(rows))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([r.tobytes() for r in rows], pa.binary())], names=["key", "vec"])
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, vec binary")
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "key long, vec binary")
     out = np.zeros((SIZE, DIM))
     for r in summed(parts, SIZE // BLOCK).collect():
         out[r["key"] * BLOCK : (r["key"] + 1) * BLOCK] = np.frombuffer(bytes(r["vec"]), np.float64).reshape(-1, DIM)
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
     read = docs.where(~held).join(F.broadcast(some), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     take = lambda rest, x: pa.RecordBatch.from_arrays([*rest, pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
-    rows = read.mapInArrow(_features(head, vectors, take), f"doc_id {kind}, y double, x binary")
+    rows = read.mapInArrow(lean(_features(head, vectors, take)), f"doc_id {kind}, y double, x binary")
     rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     net = spark.sparkContext.broadcast(fit(x, np.array([float(r["y"] > 0.5) for r in rows])))
@@ -204,7 +204,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
     read = docs.select("doc_id", *keep, held.alias("held_out"), F.col("text").cast("binary").alias("__text"))
-    return read.mapInArrow(_features(head, vectors, judge), ", ".join([*kinds, "held_out boolean", "score double", "predicted int"]))
+    return read.mapInArrow(lean(_features(head, vectors, judge)), ", ".join([*kinds, "held_out boolean", "score double", "predicted int"]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .blocks import block_pairs
-from .common import materialize, small_batches, table
-from .graph import components
+from .common import lean, materialize, small_batches, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(fps.view(np.int64))], names=["doc_id", *keep, "fp"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, ", ".join([*kinds, "fp long"]))
+    return docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__text")).mapInArrow(lean(run), ", ".join([*kinds, "fp long"]))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 11) -> list[int]:

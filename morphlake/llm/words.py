@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import lean, split_words
 
 #: A key no word can have: it stands for the end of a text.
 END = b" "
@@ -40,7 +40,7 @@ def word_counts(docs: DataFrame, lower: bool = True, end: bool = False) -> DataF
         if counts:
             yield out(counts)
 
-    partial = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
+    partial = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "word binary, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
