@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_words, table
+from .common import lean, small_batches, split_words, table
 
 WINDOW = 2048
 #: Context sizes, largest first.
@@ -78,7 +78,7 @@ class WordTokenizer:
             return
         cores = [w.rstrip(PUNCTUATION) for w in fresh]
         for k, (w, c) in enumerate(zip(fresh, cores, strict=True)):
-            if len(c) < len(w) and c and not (c[-1:].isalnum() if c[-1] < 128 else c.decode("utf-8", "replace")[-1].isalnum()):
+            if len(c) < len(w) and c and not (c[-1:].isalnum() if c[-1] < 128 else c.decode("utf-8", "replace").lower()[-1].isalnum()):
                 cores[k] = w  # what stands before may join the punctuation
         place = np.empty(2 * len(fresh), np.int64)
         place[::2] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(fresh))
@@ -267,7 +267,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS) -
 
     columns = "doc_id start length ids_crc32 doc_tokens sequence_id offset sequence_tokens context step_group".split()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long, context int, step_group int"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), schema)
 
 
 def tokenizer_path() -> str:
