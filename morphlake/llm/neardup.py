@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .graph import components
+from ..operators.graph import components
+from .common import lean, materialize, small_batches, table
 
 THRESHOLD = 0.98
-#: Codewords of each half, and the bounded sample they are fitted on.
-CODES, FIT_ROWS, ROUNDS = 32, 8192, 12
+#: Least and most codewords of each half, vectors a cell on average between them, and the bounded sample
+#: that the codewords are fitted on.
+FEWEST, CODES, CELL, FIT_ROWS, ROUNDS = 16, 256, 500, 8192, 12
+#: Share of neighbours at exactly the threshold that the traversal is to meet; nearer ones are met more often.
+RECALL = 0.999
 #: Vectors of a block: a task compares two blocks at a time.
 BLOCK = 2048
 
@@ -62,37 +65,38 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> Itera
             heapq.heappush(queue, (first[a[i]] + second[b[j + 1]], i, j + 1))
 
 
-def search_limit(threshold: float, recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> float:
+def search_limit(threshold: float, recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], seed: int = 19) -> float:
     """The bound at which a traversal stops. Unit vectors with a cosine of `threshold` lie within
     sqrt(2 - 2 threshold): no cell beyond that holds a neighbour, and recall 1 stops only there. A
-    lower recall stops where that share of the sample's neighbour pairs has been met."""
+    lower recall stops where that share of made neighbours has been met: each of the sample is turned
+    by the angle of the threshold in random directions."""
     radius = 2 - 2 * threshold + 1e-6
     if recall >= 1 or not len(sample):
         return radius
-    half = sample.shape[1] // 2
-    found = []
-    own = [half_bounds(sample[:, :half], books[0]), half_bounds(sample[:, half:], books[1])]
-    for at in range(0, len(sample), BLOCK):
-        q, n = np.nonzero(sample[at : at + BLOCK] @ sample.T >= threshold)
-        q += at
-        q, n = q[q != n], n[q != n]
-        found.append(own[0][1][q, own[0][0][n]] + own[1][1][q, own[1][0][n]])
-    bounds = np.concatenate(found)
-    return float(min(radius, np.quantile(bounds, recall))) if len(bounds) else radius
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
+    rng, half = np.random.default_rng(seed), sample.shape[1] // 2
+    x = np.tile(sample, (max(1, 2 * FIT_ROWS // len(sample)), 1))
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = threshold * x + (1 - threshold**2) ** 0.5 * g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
+    bound = np.zeros(len(x))
+    for part, book in ((slice(0, half), books[0]), (slice(half, None), books[1])):
+        bound += half_bounds(x[:, part], book)[1][np.arange(len(x)), half_bounds(y[:, part], book)[0]]
+    return float(min(radius, np.quantile(bound, recall) + 1e-9))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision,
     is `threshold` or more. Equal vectors of a label are one class, searched once; their links are
     counted by multiplicity. Vectors that are null, zero or not finite, or hold nulls, and vectors
-    with a null label, link with nothing; nor do vectors of unequal lengths. With recall 1, the default, every
-    link is found; a lower one stops the traversal earlier. Repeated rows count as vectors of their own. A row
+    with a null label, link with nothing; nor do vectors of unequal lengths. With recall 1 every link is
+    found; a lower one stops the traversal where it is met for neighbours at the very threshold. Repeated rows count as vectors of their own. A row
     with a null vec_id links and counts as others do; its component is the smallest non-null id it
     reaches. An empty table gives an empty one. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    small_batches(spark, 1000)
     x = F.transform("embedding", lambda v: v.cast("double"))
     norm = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
     sound = F.col("label").isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
@@ -105,11 +109,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     unit = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
     share = int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 30))
     sample = classes.where(unit <= share).select("dim", "embedding").collect()
+    codes = int(min(CODES, max(FEWEST, (n / CELL) ** 0.5)))
     books, limits = {}, {}
     for d in dims:
         some = np.array([r["embedding"] for r in sample if r["dim"] == d], np.float64).reshape(-1, d)
         some = some / np.linalg.norm(some, axis=1, keepdims=True) if len(some) else np.zeros((1, d))
-        books[d] = (codebook(some[:, : d // 2]) if d > 1 else np.zeros((1, 0)), codebook(some[:, d // 2 :]))
+        books[d] = (codebook(some[:, : d // 2], codes) if d > 1 else np.zeros((1, 0)), codebook(some[:, d // 2 :], codes))
         limits[d] = search_limit(threshold, recall, some, books[d])
     shared = spark.sparkContext.broadcast((books, limits))
 
@@ -139,7 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     names = ["id", "label", "dim", "times", "cell", "mine", "x"]
     label = vectors.schema["label"].dataType.simpleString()
-    seen = classes.select("id", "label", "dim", "times", "embedding").mapInArrow(visits, f"id long, label {label}, dim int, times long, cell int, mine boolean, x binary")
+    seen = classes.select("id", "label", "dim", "times", "embedding").mapInArrow(lean(visits), f"id long, label {label}, dim int, times long, cell int, mine boolean, x binary")
     seen = materialize(seen, "visits")
 
     # members of a cell in blocks meet its visitors in blocks: a task holds two blocks, whatever the cell's size
