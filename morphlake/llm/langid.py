@@ -7,13 +7,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, small_batches, table
+from .common import fold, lean, small_batches, split_words, table
 
 #: Bound of the labelled sample: rows and characters a language, characters a row.
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 256, 32_768, 2_000
 #: Words a task remembers at once.
-MEMORY = 300_000
+MEMORY = 200_000
 NOT_LETTERS = regex.compile(r"\P{L}+")
 LETTER = regex.compile(r"\p{L}")
 
@@ -73,10 +74,14 @@ class SuffixAutomaton:
 
 
 class _Words(dict):
-    """Word to its place; a new word gets the next place and waits to be parsed."""
+    """Word to the place of its letters in lower case; new letters get the next place and wait to be parsed."""
+
+    def __init__(self):
+        self.letters: dict[str, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
+        letters = normal(word.decode("utf-8", "replace"))
+        self[word] = place = self.letters.setdefault(letters, len(self.letters))
         return place
 
 
@@ -129,21 +134,20 @@ def predict(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ()
         def parsed(new):
             out = np.zeros((len(new), len(langs)))
             for k, w in enumerate(new):
-                if w := normal(w.decode("utf-8", "replace")):
+                if w:
                     out[k] = [a.phrases(f" {w} ") for a in automata]
             return out
 
         for b in batches:
-            *rest, texts = b.columns
+            texts = b.columns[-1]
             if len(words) > MEMORY:
                 words, table_ = _Words(), np.zeros((0, len(langs)))
-            split = [(t or b"").split() for t in texts.to_pylist()]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            ids = np.fromiter((i for s in split for i in map(words.__getitem__, s)), np.int64, int(sizes.sum()))
-            if len(words) > len(table_):
-                fresh = list(words)[len(table_) :]
+            found, index, sizes = split_words(texts)
+            ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))[index]
+            if len(words.letters) > len(table_):
+                fresh = list(words.letters)[len(table_) :]
                 table_ = np.concatenate([table_, parsed(fresh)])
-            sums = np.zeros((len(split), max(1, len(langs))))
+            sums = np.zeros((len(sizes), max(1, len(langs))))
             full = np.flatnonzero(sizes)
             if langs and full.size:
                 starts = (np.cumsum(sizes) - sizes)[full]
@@ -153,17 +157,19 @@ def predict(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ()
             share = 1 / np.exp(-(sums - low[:, None])).sum(axis=1)
             und = (low <= 0) if langs else np.ones(len(sums), bool)
             pred = pa.array([None if u else langs[k] for u, k in zip(und, best, strict=True)], pa.string()).fill_null("und")
-            out = [*rest, pred, pa.array(np.where(und, 0.0, share))]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            out = [*b.columns[: len(names)], pred, pa.array(np.where(und, 0.0, share))]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score"])
 
-    names = ["doc_id", *keep, "lang_pred", "score"]
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    read = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__text"))
-    return read.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    # the text goes through Python once, whether it is kept or not
+    names = ["doc_id", *(c for c in keep if c != "text"), *(["text"] if "text" in keep else [])]
+    read = docs.select("doc_id", *(c for c in keep if c != "text"), "text")
+    schema = T.StructType([*(T.StructField(c, read.schema[c].dataType) for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = read.mapInArrow(lean(run), schema)
+    return found.select("doc_id", *keep, "lang_pred", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 1000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
     samples = learn(docs.where(~held))
