@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, split_words, summed, table
+from .common import fold, lean, materialize, small_batches, split_words, summed, table
 from .words import END, frequent, word_counts
 
 #: Words with a row of their own in every task's memory: the most frequent ones. Others are joined.
@@ -20,11 +20,11 @@ HEAD = 1 << 17
 OWN, ENDINGS, HASHED = 255, 192, 64
 CLASSES = 1 + OWN + ENDINGS + HASHED
 ENDING = 3
-DIM, NOISE, BATCH, RATE = 32, 64, 1024, 0.15
+DIM, NOISE, BATCH, RATE, START = 32, 64, 256, 0.1, 0.01
 #: One of so many positions of every training text is a target of the distributed round.
 STRIDE = 6
 #: Bound of the first, driver-side round: rows and characters a row.
-WARM_ROWS, WARM_CHARS, WARM_EPOCHS = 600, 4_000, 3
+WARM_ROWS, WARM_CHARS, WARM_EPOCHS = 600, 4_000, 8
 #: New words a task remembers at once.
 MEMORY = 150_000
 
@@ -49,7 +49,7 @@ class Model:
         w = [np.eye(DIM) * 0.5 + rng.normal(0, 0.02, (DIM, DIM)) for _ in range(2)]
         parts = [rng.normal(0, 0.1, (n, DIM)), *w, rng.normal(0, 0.1, (n, DIM)), np.log(self.noise)]
         self.p = [x.astype(np.float32) for x in parts]
-        self.g = [np.full_like(x, 0.1) for x in self.p]
+        self.g = [np.full_like(x, START) for x in self.p]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (*self.p, *self.g)])
@@ -187,7 +187,7 @@ def class_totals(counts: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
             out[1] += np.bincount(cls, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], names=["cls", "n", "types"])
 
-    rows = counts.mapInArrow(run, "cls long, n long, types long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
+    rows = counts.mapInArrow(lean(run), "cls long, n long, types long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
     n, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in rows:
         n[r["cls"]], types[r["cls"]] = r["n"], r["types"]
@@ -222,7 +222,7 @@ def train(docs: DataFrame, vocab, totals: np.ndarray, seed: int = 7) -> Model:
             flat = np.append(own.flat().astype(np.float64) * seen, seen).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([flat], pa.binary())], names=["key", "vec"])
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, vec binary")
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "key long, vec binary")
     rows = summed(parts, 16).collect()  # 16 at most
     if rows:
         total = sum(np.frombuffer(bytes(r["vec"]), np.float64) for r in rows)
@@ -281,7 +281,7 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
 
     names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_own", "head_score", "tail"]
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_own double, head_score double, tail array<struct<word: binary, times: bigint>>"
-    scored = materialize(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema), "scored")
+    scored = materialize(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(lean(run), schema), "scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     joined = tail.join(rest, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = joined.groupBy("row").agg(
