@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from morphlake.llm.common import fold, lean, materialize, small_batches, table
 from morphlake.llm.langid import learn, predict
@@ -29,25 +30,33 @@ def keyed(docs: DataFrame) -> DataFrame:
 KEY = ["__k1", "__k2"]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct: their names can clash with nothing."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("__row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`") for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those surely in another language than `lang` says. Rows with
-    a null lang stay. Null texts go."""
+    a null lang stay. Null texts go. Where no row can be learned from, all stay."""
     small_batches(spark, ROWS)
-    columns = docs.columns
-    samples = learn(docs.where(fold(F.col("doc_id"), 3) != 1))
-    found = predict(docs, samples, tuple(c for c in columns if c != "doc_id"))
-    wrong = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
-    kept = found.where(~wrong) if not samples else found.where((F.col("lang_pred") != "und") & ~wrong)
-    return kept.select(*columns)
+    samples = learn(docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
+    found = predict(packed(docs), samples, ("text", "__row"))
+    said = F.col("__row.lang")
+    wrong = F.coalesce((said != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
+    kept = found.where((F.col("lang_pred") != "und") & ~wrong) if samples else found
+    return unpacked(kept, docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the quality classifier predicts label 0 for; it learns from `labels`."""
     small_batches(spark, ROWS)
-    columns = docs.columns
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    found = score_quality(docs, labels, fold(F.col("doc_id"), 5) == 0, tuple(c for c in columns if c != "doc_id"))
-    return found.where("predicted = 1").select(*columns)
+    found = score_quality(packed(docs), labels, fold(F.col("doc_id"), 5) == 0, ("text", "__row"))
+    return unpacked(found.where("predicted = 1"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,8 +99,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 cols[chars_at] = pa.array([len(t) for t in texts], pa.int64()).cast(cols[chars_at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*columns, "__shard", "__place"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    out = met.mapInArrow(lean(cut), ", ".join([*kinds, "__shard int", "__place long"]))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("__shard", T.IntegerType()), T.StructField("__place", T.LongType())])
+    out = met.mapInArrow(lean(cut), schema)
     return out.repartition("__shard").sortWithinPartitions("__shard", "__place").select(*columns)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, lean, materialize, small_batches, split_words, summed, table
 from .words import frequent, word_counts
@@ -159,13 +160,12 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 9) -> Network:
 
 
 def _features(head, vectors, then):
-    """A function over batches whose last column is the text: hands the others and the features to `then`."""
+    """A function over batches whose last column is the text: hands the columns and the features to `then`."""
 
     def run(batches):
         lex = Lexicon(head.value)
         for b in batches:
-            *rest, texts = b.columns
-            yield then(rest, pooled(*lex.rows(texts), vectors.value))
+            yield then(b.columns, pooled(*lex.rows(b.columns[-1]), vectors.value))
 
     return run
 
@@ -192,19 +192,24 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
     some = materialize(some, "marks")
     read = docs.where(~held).join(F.broadcast(some), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    take = lambda rest, x: pa.RecordBatch.from_arrays([*rest, pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+    take = lambda columns, x: pa.RecordBatch.from_arrays([*columns[:-1], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
     rows = read.mapInArrow(lean(_features(head, vectors, take)), f"doc_id {kind}, y double, x binary")
     rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     net = spark.sparkContext.broadcast(fit(x, np.array([float(r["y"] > 0.5) for r in rows])))
 
-    def judge(rest, x):
+    # the text goes through Python once, whether it is kept or not
+    text = ["text"] if "text" in keep else []
+    names = ["doc_id", *(c for c in keep if c != "text"), "held_out", *text]
+
+    def judge(columns, x):
         s = net.value.scores(x.astype(np.float64))
-        return pa.RecordBatch.from_arrays([*rest, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", *keep, "held_out", "score", "predicted"])
+        return pa.RecordBatch.from_arrays([*columns[: len(names)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    read = docs.select("doc_id", *keep, held.alias("held_out"), F.col("text").cast("binary").alias("__text"))
-    return read.mapInArrow(lean(_features(head, vectors, judge)), ", ".join([*kinds, "held_out boolean", "score double", "predicted int"]))
+    read = docs.select("doc_id", *(c for c in keep if c != "text"), held.alias("held_out"), "text")
+    schema = T.StructType([*(T.StructField(c, read.schema[c].dataType) for c in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    found = read.mapInArrow(lean(_features(head, vectors, judge)), schema)
+    return found.select("doc_id", *keep, "held_out", "score", "predicted")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
