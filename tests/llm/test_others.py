@@ -191,3 +191,19 @@ def test_pipeline(spark):
     assert 0 < sizes[2] <= sizes[1] <= sizes[0]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert pieces.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_on_odd_tables(spark, odd, none):
+    import corpus_pipeline
+
+    docs, ids = odd, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == odd.columns, name
+        rows = kept.collect()
+        ids.append([r["doc_id"] for r in rows])
+        docs = spark.createDataFrame(rows, odd.schema)
+        assert stage(spark, none, SF).count() == 0, name
+    assert 4 not in ids[0] and 8 not in ids[0] and {1, 2, 7} <= set(ids[0])
+    assert ids[2].count(1) <= 1 and 2 not in ids[2] and ids[2].count(10) <= 1
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
