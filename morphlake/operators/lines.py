@@ -92,7 +92,7 @@ def _rank(column: str, order: list[str]) -> Column:
 #: Endings of the citation form by part of speech, declension and variant; the stem is the first.
 CITATION = {
     ("N", 1, 1): "a", ("N", 2, 1): "us", ("N", 2, 2): "um", ("N", 2, 3): "", ("N", 3, 1): "", ("N", 3, 2): "", ("N", 3, 3): "", ("N", 4, 1): "us", ("N", 4, 2): "u", ("N", 5, 1): "es",
-    ("ADJ", 1, 1): "us", ("ADJ", 1, 2): "", ("ADJ", 3, 1): "", ("ADJ", 3, 2): "is", ("ADJ", 3, 3): "", ("V", 1, 1): "o", ("V", 2, 1): "eo", ("V", 3, 1): "o", ("V", 3, 4): "o", ("V", 5, 1): "um", ("V", 6, 1): "eo",
+    ("ADJ", 1, 1): "us", ("ADJ", 1, 2): "", ("ADJ", 3, 1): "", ("ADJ", 3, 2): "is", ("ADJ", 3, 3): "", ("V", 1, 1): "o", ("V", 2, 1): "eo", ("V", 3, 1): "o", ("V", 3, 4): "io", ("V", 5, 1): "um", ("V", 6, 1): "eo",
 }
 
 
