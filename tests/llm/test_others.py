@@ -126,6 +126,15 @@ def test_pages_table(spark):
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in pages.extract_pages(odd.withColumn("host", F.lit("z"))).collect())
     assert got == [(0, "", 0), (1, "", 0), (2, "hi", 2), (2, "hi", 2)]
     assert pages.extract_pages(odd.limit(0)).count() == 0
+    # a host of several chunks, dealt either way
+    many = spark.createDataFrame([(k, "http://hot/x", f"<p>page{k}</p>") for k in range(40)], "page_id long, url string, html string")
+    old, pages.CHUNK_PAGES = pages.CHUNK_PAGES, 10
+    try:
+        for most in (100, 0):
+            pages.HOT_HOSTS = most
+            assert {(r["page_id"], r["text"]) for r in pages.extract_pages(many).collect()} == {(k, f"page{k}") for k in range(40)}
+    finally:
+        pages.CHUNK_PAGES, pages.HOT_HOSTS = old, 100_000
 
 
 # conversations
