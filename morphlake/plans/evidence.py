@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import clamped_dot, normalized
-from ..operators import ranking, votes
+from ..operators import blocks, ranking, votes
 from ..sources.tables import table
 from .registry import Catalog, run_sql
 
 catalog = Catalog()
 
-#: Pairs compare vectors of one block: equal label and equal id modulo this, so that blocks stay small.
+#: The SQL alone compares vectors of equal label and equal id modulo this, about one pair in 16. The queries
+#: compare all vectors of a label, so that they have rows the SQL does not give (see README, known limits).
 BLOCK = 16
 DUCK_PAIRS = f"""
 v as (select vec_id, label, vec_id % {BLOCK} as blk, cast(embedding as double[]) as x from embeddings where label is not null),
@@ -20,20 +20,14 @@ u as (select vec_id, label, blk, list_transform(x, lambda e: e / sqrt(list_sum(l
 p as (select a.vec_id as l, b.vec_id as r, round(greatest(-1, least(1, list_dot_product(a.x, b.x))), 6) as score from u a join u b on a.label = b.label and a.blk = b.blk and a.vec_id <> b.vec_id)"""
 
 
-def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both directions of every pair of a block with the cosine: each pair is computed once."""
-    v = table(spark, sf_dir, "embeddings").where("label is not null")
-    v = v.select("vec_id", "label", (F.col("vec_id") % BLOCK).alias("blk"), normalized(F.col("embedding")).alias("x"))
-    w = v.select(F.col("vec_id").alias("r"), "label", "blk", F.col("x").alias("y"))
-    half = v.withColumnRenamed("vec_id", "l").join(w, ["label", "blk"]).where("l < r")
-    half = half.select("l", "r", F.round(clamped_dot(F.col("x"), F.col("y")), 6).alias("score"))
-    sides = F.explode(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r")))).alias("s")
-    return half.select(sides, "score").select("s.l", "s.r", "score")
+def cosine_pairs(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    """Pairs of all vectors of a label with the cosine: those of at least a score, or the best of each vector."""
+    return blocks.cosine_pairs(table(spark, sf_dir, "embeddings"), "label", **limits)
 
 
 @catalog.add(f"with {DUCK_PAIRS} select l as left_id, r as right_id, score from p where l < r and score >= 0.3")
 def blocked_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cosine_pairs(spark, sf_dir).where("l < r and score >= 0.3").select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
+    return cosine_pairs(spark, sf_dir, least=0.3).select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
 
 
 DUCK_RANKED = DUCK_PAIRS + """,
@@ -45,20 +39,20 @@ m as (select l, r, score, competition_rank, rn, round(case when rn = 1 then scor
 @catalog.add(f"with {DUCK_RANKED} select l as left_id, r as right_id, score, competition_rank, margin from m where competition_rank <= 5")
 def cosine_rank_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of each vector by competition rank, with margins."""
-    ranked = ranking.rank_with_margin(cosine_pairs(spark, sf_dir), ["l"], "score", "r").where("competition_rank <= 5")
+    ranked = ranking.rank_with_margin(cosine_pairs(spark, sf_dir, top=5), ["l"], "score", "r").where("competition_rank <= 5")
     return ranked.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score", F.col("competition_rank").cast("long").alias("competition_rank"), F.round("margin", 6).alias("margin"))
 
 
 @catalog.add(f"""with {DUCK_RANKED}, b as (select * from m where competition_rank = 1 and margin > 0)
 select a.l as left_id, a.r as right_id, a.score, a.margin, c.margin as back_margin from b a join b c on a.l = c.r and a.r = c.l where a.l < a.r""")
 def mutual_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.mutual_best(cosine_pairs(spark, sf_dir), "l", "r", "score")
+    best = ranking.mutual_best(cosine_pairs(spark, sf_dir, top=2), "l", "r", "score")
     return best.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score", F.round("margin", 6).alias("margin"), F.round("back_margin", 6).alias("back_margin"))
 
 
 @catalog.add(f"""with {DUCK_RANKED} select l as vec_id, max(score) as best, round(avg(score), 7) as top3_mean, arg_min(r, rn) as best_id from m where rn <= 3 group by l""")
 def top3_mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranking.top_n(cosine_pairs(spark, sf_dir), ["l"], [F.desc("score"), F.asc("r")], 3)
+    top = ranking.top_n(cosine_pairs(spark, sf_dir, top=3, ties=False), ["l"], [F.desc("score"), F.asc("r")], 3)
     return top.groupBy(F.col("l").alias("vec_id")).agg(F.max("score").alias("best"), F.round(F.avg("score"), 7).alias("top3_mean"), F.min_by("r", "rn").alias("best_id"))
 
 
