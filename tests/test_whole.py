@@ -65,3 +65,13 @@ def test_vectors_without_direction(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 0, [0.0, 0.0]), (4, 0, None), (5, 0, [1.0, None]), (6, 0, []), (7, 0, [1.0, 0.0, 0.0]), (8, None, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     assert sorted(map(tuple, blocks.cosine_pairs(v, "label", least=-1.0).collect())) == [(0, 1, 2, 1.0)]
+
+
+def test_every_item_is_looked_up(spark):
+    sql = catalog.ORACLE_SQL["gloss_index_lookup"]
+    assert sql.count(" where item_id < 10") == 1
+    whole = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        whole.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    want = whole.execute(sql.replace(" where item_id < 10", "")).fetchall()
+    assert found(spark, "gloss_index_lookup", "word", "rn", "doc_id", "rank", "n") == sorted(want)
