@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_n
+from ..operators.resolve import overlap_score
 from ..sources.tables import table
 from .registry import Catalog, run_sql
 
@@ -121,8 +122,22 @@ both_ as (select p.doc_id, p.item_id, d.token, idf from pairs p join d using (do
 """
 DUCK_OVERLAP = OVERLAP.format(tokens=rf"""d as (select distinct doc_id, lower({DUCK_WORDS}) as token from documents),
 b as (select distinct item_id, lower({DUCK_WORDS}) as token from benchmark)""")
-SPARK_OVERLAP = OVERLAP.format(tokens=r"""d as (select doc_id, explode(array_distinct(transform(regexp_extract_all(text, r"\p{L}+(?:['’]\p{L}+)*", 0), x -> lower(x)))) as token from documents),
-b as (select item_id, explode(array_distinct(transform(regexp_extract_all(text, r"\p{L}+(?:['’]\p{L}+)*", 0), x -> lower(x)))) as token from benchmark)""")
+
+
+def shared_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, item_id, token, idf) of every token that a document shares with a benchmark item, and the
+    weights of all tokens: (doc_id, dw) and (item_id, bw). The SQL alone wants a rare token among them."""
+    found = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)), F.lower))).alias("token")
+    d, b = table(spark, sf_dir, "documents").select("doc_id", found), table(spark, sf_dir, "benchmark").select("item_id", found)
+    n = table(spark, sf_dir, "documents").where(F.col("text").rlike(LETTERS)).agg(F.countDistinct("doc_id").alias("n"))
+    df = d.groupBy("token").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = d.join(idf, "token").repartition("doc_id")  # where the items are sent out, their pairs need no other exchange
+    items = b.join(idf, "token")
+    dw, bw = weighed.groupBy("doc_id").agg(F.sum("idf").alias("dw")), items.groupBy("item_id").agg(F.sum("idf").alias("bw"))
+    return weighed.join(b, "token"), dw, bw
+
+
 WEIGHTED = """select doc_id, item_id, count(*) as shared_tokens,
   round(0.75 * sum(idf) / least(any_value(dw.w), any_value(bw.w)) + 0.25 * sum(idf) / (any_value(dw.w) + any_value(bw.w) - sum(idf)), 6) as score
 from both_ join dw using (doc_id) join bw using (item_id) group by doc_id, item_id"""
@@ -130,10 +145,11 @@ from both_ join dw using (doc_id) join bw using (item_id) group by doc_id, item_
 
 @catalog.add(DUCK_OVERLAP + WEIGHTED)
 def weighted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverse-document-frequency overlap of documents with benchmark items: containment and Jaccard.
-
-    Pairs that share a rare token only: a frequent token makes no pair, but counts in the score."""
-    return run_sql(spark, sf_dir, "documents benchmark", SPARK_OVERLAP + WEIGHTED)
+    """Inverse-document-frequency overlap of documents with benchmark items: containment and Jaccard, of
+    every pair that shares a token."""
+    both, dw, bw = shared_tokens(spark, sf_dir)
+    pairs = both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_tokens"), F.sum("idf").alias("s")).join(dw, "doc_id").join(bw, "item_id")
+    return pairs.select("doc_id", "item_id", "shared_tokens", F.round(overlap_score("s", "dw", "bw"), 6).alias("score"))
 
 
 TERMS = """select doc_id, item_id, rn, token from
@@ -142,7 +158,8 @@ TERMS = """select doc_id, item_id, rn, token from
 
 @catalog.add(DUCK_OVERLAP + TERMS)
 def top_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, "documents benchmark", SPARK_OVERLAP + TERMS)
+    both = shared_tokens(spark, sf_dir)[0]
+    return top_n(both, ["doc_id", "item_id"], [F.desc(F.round("idf", 9)), F.asc("token")], 12).select("doc_id", "item_id", "rn", "token")
 
 
 @catalog.add(rf"""

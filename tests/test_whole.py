@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import oracle
 from morphlake.operators import blocks
 from morphlake.plans import catalog, evidence
 
@@ -75,3 +76,11 @@ def test_every_item_is_looked_up(spark):
         whole.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     want = whole.execute(sql.replace(" where item_id < 10", "")).fetchall()
     assert found(spark, "gloss_index_lookup", "word", "rn", "doc_id", "rank", "n") == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["weighted_overlap", "top_shared_terms"])
+def test_frequent_tokens_make_pairs(spark, name):
+    rare = " where df <= greatest(5, n / 50)"
+    sql = catalog.ORACLE_SQL[name]
+    assert sql.count(rare) == 1
+    assert oracle.differences(catalog.QUERIES[name](spark, SF), oracle.connect(SF), sql.replace(rare, "")) == []
