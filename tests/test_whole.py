@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import oracle
-from morphlake.operators import blocks
+from morphlake.operators import blocks, trees
 from morphlake.plans import catalog, evidence
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,27 @@ def test_frequent_tokens_make_pairs(spark, name):
     sql = catalog.ORACLE_SQL[name]
     assert sql.count(rare) == 1
     assert oracle.differences(catalog.QUERIES[name](spark, SF), oracle.connect(SF), sql.replace(rare, "")) == []
+
+
+def test_reply_trees_of_all_turns(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    turns = {c: sorted(int(t) for t in rng.choice(14, rng.integers(1, 6), replace=False)) for c in range(60)}
+    roles = {(c, t): [None, "user", "assistant", "tool"][rng.integers(0, 4)] for c, x in turns.items() for t in x}
+    roles |= {(60, t): "user" if t % 3 else "assistant" for t in range(30)}
+    spark.createDataFrame([(c, t, r, "x") for (c, t), r in roles.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for c, t, h in catalog.QUERIES["reply_trees"](spark, str(tmp_path)).select("sentence", "dependent", "head").collect():
+        got.setdefault(c, {})[t - 1] = h - 1
+    assert sorted((c, t) for c, x in got.items() for t in x) == sorted(roles)
+    for c, x in got.items():
+        own = sorted(x)
+        s = np.full((len(own) + 1, len(own) + 1), trees.NONE)
+        for k, t in enumerate(own, 1):
+            s[0, k] = -t
+            for j, h in enumerate(own, 1):
+                a, b = roles[c, t], roles[c, h]
+                if h != t:
+                    s[j, k] = (2 if a and b and a != b else 0) - 0.5 * abs(t - h) - (4 if h > t else 0)
+        place = {-1: 0} | {t: k for k, t in enumerate(own, 1)}
+        best = (trees.exact_tree if len(own) < 6 else trees.spanning_tree)(s)
+        assert trees.score_of([0, *(place[x[t]] for t in own)], s) == trees.score_of(best, s)
