@@ -60,12 +60,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked fingerprints the document with the smallest id, once."""
+    """Keeps of each group of linked fingerprints one document, of the smallest id; null ids come last."""
     rows = keyed(docs)
-    groups = simhash_components(rows.select("doc_id", "text", *KEY), keep=tuple(KEY))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one text of an id whose several texts are near copies of each other
-    kept = kept.groupBy("doc_id", "fingerprint").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    groups = simhash_components(rows.select("doc_id", "text", *KEY), keep=tuple(KEY), root=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("k")
+    kept = groups.groupBy("root").agg(first).select(*[F.col(f"k.{c}") for c in KEY])
     small_batches(spark, ROWS)
     return rows.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
 

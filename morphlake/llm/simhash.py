@@ -123,8 +123,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return two.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, the columns of `keep`, fingerprint (16 hex digits), component_id.
+def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), root: bool = False) -> DataFrame:
+    """One row per input row: doc_id, the columns of `keep`, fingerprint (16 hex digits), component_id;
+    with `root` also the fingerprint, as a number and never null, that stands for the component.
 
     component_id is the smallest doc_id reachable over links of fingerprints that differ in `radius`
     or fewer bits; equal fingerprints are linked. Null and empty texts have fingerprint zero, which
@@ -143,9 +144,9 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, .
     rooted = comp.select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = materialize(rooted.union(rooted.select(F.col("root").alias("fp"), "root")).distinct(), "rooted")
     least = rooted.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("low"))
-    linked = rooted.join(least, "root").select("fp", "low")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = rooted.join(least, "root").select("fp", "root", "low")
+    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(ids, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["root"] * root)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
