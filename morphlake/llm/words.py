@@ -14,7 +14,7 @@ from .common import lean, split_words
 #: A key no word can have: it stands for the end of a text.
 END = b" "
 #: Distinct words a task holds before it hands on what it counted.
-FLUSH = 300_000
+FLUSH = 100_000
 
 
 def word_counts(docs: DataFrame, lower: bool = True, end: bool = False) -> DataFrame:
@@ -50,20 +50,27 @@ def _band():
 
 
 def frequent(counts: DataFrame, size: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
-    """At most `size` of the most frequent words, with their counts, by falling count; and the others.
+    """The `size` most frequent words (all, if there are fewer), with their counts, by falling count; and the others.
 
-    Whole bands of counts are taken from the top as long as they fit, so that only a row a band and the
-    words taken come to the driver.
+    Whole bands of counts are taken from the top as long as they fit, and of the next one as many as there is
+    room for, those of the smallest hashes: only a row a band and about the words taken come to the driver.
     """
     bands = sorted(((r["b"], r["n"]) for r in counts.groupBy(_band().alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    low, taken = None, 0
+    low, room, share = None, size, 1.0
     for band, n in bands:
-        if taken + n > size:
+        if room <= 0:
             break
-        low, taken = band, taken + n
+        low, share = band, min(1.0, room / n)
+        room -= n
     if low is None:
         return [], np.zeros(0, np.int64), counts
-    top = counts.where(_band() >= low).toArrow()
-    words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
-    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
-    return [words[k] for k in order], n[order], counts.where(_band() < low)
+    unit = F.when(_band() > low, -1).otherwise(F.pmod(F.xxhash64("word"), F.lit(1 << 30)))
+    top = counts.where((_band() >= low) & (unit < int(share * (1 << 30)) + (share >= 1))).select("word", "n", unit.alias("h")).toArrow()
+    words, n, h = top.column("word").to_pylist(), top.column("n").to_numpy(), top.column("h").to_numpy()
+    cut = 1 << 31
+    if len(words) > size:  # some more hashes fell under the share than there is room for
+        cut = int(np.sort(h)[size])
+    elif share < 1:
+        cut = int(share * (1 << 30))
+    order = sorted(np.flatnonzero(h < cut).tolist(), key=lambda k: (-n[k], words[k]))
+    return [words[k] for k in order], n[order], counts.where((_band() < low) | (unit >= cut))
