@@ -76,7 +76,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     parent is not the one before opens a branch; a branch stands after all that follows its parent without branching, branches
     of later parents first, of one parent by turn.
 
-    Null texts and roles are empty; rows with a null conv_id are one conversation; a null turn
+    Null texts and roles are empty, very long texts are parsed whole; rows with a null conv_id are one conversation; a null turn
     stands first. Rows of one turn stand in the order of their text, and are quoted as the first of them. Repeated rows are messages of their own. An
     empty table gives an empty one. Other columns are ignored. Hot keys: originals are one row per hash and
     conversation before any join, and messages are never paired with each other.
@@ -99,7 +99,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     read = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("role", "text").alias("o"), text.alias("text"))
     parsed = read.mapInArrow(parse, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, o long, body string, max_level int, quotes array<array<string>>, own array<string>")
     parsed = parsed.withColumns({
-        "c": F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), "t": F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), "id": F.monotonically_increasing_id(),
+        "c": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("~")), "t": F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), "id": F.monotonically_increasing_id(),
     })
     m = materialize(parsed, "messages")
 
@@ -132,7 +132,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     return m.join(ordered, "id").select(
         "conv_id", "turn", "role", "body", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>\n")).alias("formatted"),
         F.size("quotes").alias("n_quotes"), "max_level", F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"),
-        turn(F.coalesce("same_t", F.col("far.t0"))).alias("quoted_turn"), F.when(F.col("far").isNotNull() & (F.col("far.c") != "~"), F.col("far.c")).cast(kinds["conv_id"]).alias("quoted_conv"),
+        turn(F.coalesce("same_t", F.col("far.t0"))).alias("quoted_turn"), F.when(F.col("far").isNotNull() & (F.col("far.c") != "~"), F.expr("substr(far.c, 2)")).cast(kinds["conv_id"]).alias("quoted_conv"),
         turn(F.col("parent")).alias("parent_turn"), F.col("position").cast("long").alias("position"),
     )
 

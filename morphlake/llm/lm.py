@@ -117,7 +117,7 @@ class Model:
         first, second = (one @ u.T + bias).astype(np.float64), (two @ u.T).astype(np.float64)
         top1, top2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
         norm = top1 + top2.T + np.log(np.exp(first - top1) @ np.exp(second - top2).T)
-        return Scorer(one, two, u, bias, norm.astype(np.float32))
+        return Scorer(one, two, u.copy(), bias.copy(), norm.astype(np.float32))
 
 
 @dataclass

@@ -38,6 +38,23 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
+def draw(has: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """`n` of the blocks drawn without replacement: how many of each source. Source by source; where more blocks
+    than numpy draws from (10^9) are left, by the normal law of the same mean and variance, within what is possible."""
+    out, left = np.zeros_like(has), int(has.sum())
+    for k, own in enumerate(has.tolist()):
+        low, high = max(0, n - (left - own)), min(n, own)
+        if low == high:
+            out[k] = low
+        elif left < 1_000_000_000:
+            out[k] = rng.hypergeometric(own, left - own, n)
+        else:
+            share = own / left
+            out[k] = min(high, max(low, round(rng.normal(n * share, math.sqrt(n * share * (1 - share) * (left - n) / (left - 1))))))
+        left, n = left - own, n - int(out[k])
+    return out
+
+
 def split_quotas(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """shards x sources: exact block quotas of each shard, by a tree of multivariate-hypergeometric draws.
 
@@ -55,7 +72,7 @@ def split_quotas(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> n
         # the slots of shards low to mid when slots are dealt to shards one by one
         width = high - low
         mine = (total // width) * (mid - low) + min(total % width, mid - low)
-        left = rng.multivariate_hypergeometric(has, mine, method="marginals")
+        left = draw(has, mine, rng)
         deal(low, mid, left)
         deal(mid, high, has - left)
 
@@ -128,8 +145,9 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), shards: int = SHARDS, block
     own; the splitting tree says which draws go to which shard, and a shard's pieces are ordered by a
     hash. No word is taken more often than there are passes, so no document exceeds MOST times its size.
     Null and empty texts have size 0 and are never taken; a null source is a source of its own. Equal
-    ids in a source are told apart by their text's hash, then by their place in the input. An empty
-    table gives empty ones. Other columns are ignored.
+    ids in a source are told apart by their text's hash, then by their place in the input. Repeated rows are documents of
+    their own. A very long text is cut into blocks like any other. An empty table gives empty ones. Other columns are
+    ignored, whatever their names. The plan holds a few numbers a source on the driver.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)

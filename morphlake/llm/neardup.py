@@ -16,13 +16,19 @@ from .common import lean, materialize, small_batches, table
 THRESHOLD = 0.98
 #: Least and most codewords of each half, vectors a cell on average between them, and the bounded sample
 #: that the codewords are fitted on.
-FEWEST, CODES, CELL, FIT_ROWS, ROUNDS = 16, 256, 500, 8192, 12
+FEWEST, CODES, CELL, FIT_ROWS, ROUNDS = 16, 2048, 500, 8192, 12
 #: Share of neighbours at exactly the threshold that the traversal is to meet; nearer ones are met more often.
 RECALL = 0.999
 #: Vectors of a block: a task compares two blocks at a time.
 BLOCK = 2048
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def codebook(x: np.ndarray, codes: int = CODES, seed: int = 13) -> np.ndarray:
     """k-means centres; fewer than `codes` where there are fewer distinct vectors."""
     rng = np.random.default_rng(seed)
@@ -98,8 +104,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     spark = vectors.sparkSession
     small_batches(spark, 1000)
     x = F.transform("embedding", lambda v: v.cast("double"))
-    norm = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    sound = F.col("label").isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
+    largest = F.array_max(F.transform(x, F.abs))  # NaN is the largest of all; lengths are taken after a division by it
+    whole = ~F.exists(x, lambda v: v.isNull()) & (largest > 0) & (largest < float("inf")) & ~F.isnan(largest)
+    sound = F.col("label").isNotNull() & F.coalesce(whole, F.lit(False))
     rows = vectors.select("vec_id", "label", "embedding").withColumn("sound", sound)
     classes = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "classes")
@@ -113,14 +120,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     books, limits = {}, {}
     for d in dims:
         some = np.array([r["embedding"] for r in sample if r["dim"] == d], np.float64).reshape(-1, d)
-        some = some / np.linalg.norm(some, axis=1, keepdims=True) if len(some) else np.zeros((1, d))
+        some = unit_rows(some) if len(some) else np.zeros((1, d))
         books[d] = (codebook(some[:, : d // 2], codes) if d > 1 else np.zeros((1, 0)), codebook(some[:, d // 2 :], codes))
         limits[d] = search_limit(threshold, recall, some, books[d])
     shared = spark.sparkContext.broadcast((books, limits))
 
     def matrix(column, d):
-        x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+        return unit_rows(np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d))
 
     def visits(batches):
         books, limits = shared.value

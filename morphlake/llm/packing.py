@@ -224,7 +224,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS) -
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens,
     context (the tier the sequence fits) and step_group. Each task packs its own rows in one pass:
     nothing is shuffled, and a lost task's rerun over the same rows gives the same pieces. Null
-    and empty texts are a document of the end id alone. Repeated rows are documents of their own.
+    and empty texts are a document of the end id alone; a very long text is encoded whole and cut into windows. Repeated rows are documents of their own.
     Columns other than doc_id and text are ignored; an empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -177,8 +177,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held, keep: tuple[str, ...
     label, TRAIN_ROWS at most, chosen by the hash of their id; word vectors come from all texts. An id
     with several labels counts as its majority, ties as 0; null labels and labels of unknown ids are
     left out. Without labels every score is 0.5; with one kind of label only, every score is its
-    smoothed share. Null texts are empty; they are scored as any other. Repeated rows are scored
-    each. An empty table gives an empty one. Other columns are ignored.
+    smoothed share. Null texts are empty; they are scored as any other, and very long texts whole. Repeated rows are scored
+    each. An empty table gives an empty one. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     counts = materialize(word_counts(docs.select("text")), "counts")

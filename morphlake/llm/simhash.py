@@ -130,8 +130,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, .
     component_id is the smallest doc_id reachable over links of fingerprints that differ in `radius`
     or fewer bits; equal fingerprints are linked. Null and empty texts have fingerprint zero, which
     links like any other. A row with a null doc_id keeps its fingerprint, and its component_id is the
-    smallest non-null id it reaches (null if there is none). Repeated rows give repeated rows. An
-    empty table gives an empty one. Columns other than doc_id and text are ignored.
+    smallest non-null id it reaches (null if there is none). Very long texts are hashed whole, in slices. Repeated rows give
+    repeated rows. An empty table gives an empty one. Columns other than doc_id and text are ignored.
     """
     small_batches(docs.sparkSession)
     # what follows reads the fingerprints several times: written once
