@@ -22,6 +22,8 @@ RUN = 512
 #: Runs parsed at once.
 LANES = 4096
 SPACE = 0x20
+#: Languages up to which a list of them is sent to every task.
+MANY = 10_000
 #: Places of a dense table, at four bytes each.
 DENSE = 1 << 24
 
@@ -204,7 +206,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, fit_rows: int = FIT_ROWS, lo
         return None
     unit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
     share = spark.createDataFrame([(r["lang"], int(min(1.0, 2 * (rows + fit_rows) / r["count"]) * (1 << 30))) for r in counts], "lang string, most long")
-    picked = known.select("lang", unit.alias("h"), "text").join(share, "lang")
+    # a row a language: sent out to the rows, so that no text is shuffled by language, unless there are very many
+    picked = known.select("lang", unit.alias("h"), "text").join(F.broadcast(share) if len(counts) <= MANY else share, "lang")
     found: dict[str, list] = {}
     for r in picked.where("h <= most").select("lang", "h", "text").collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
