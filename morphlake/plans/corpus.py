@@ -114,11 +114,9 @@ with {tokens},
 size_n as (select count(*) as n from (select distinct doc_id from d)),
 df as (select token, count(*) as df from d group by token),
 idf as (select token, df, ln((n + 1) / (df + 1)) + 1 as idf from df cross join size_n),
-rare as (select token from idf cross join size_n where df <= greatest(5, n / 50)),
-pairs as (select distinct d.doc_id, b.item_id from d join rare using (token) join b using (token)),
 dw as (select doc_id, sum(idf) as w from d join idf using (token) group by doc_id),
 bw as (select item_id, sum(idf) as w from b join idf using (token) group by item_id),
-both_ as (select p.doc_id, p.item_id, d.token, idf from pairs p join d using (doc_id) join b on b.item_id = p.item_id and b.token = d.token join idf on idf.token = d.token)
+both_ as (select d.doc_id, b.item_id, d.token, idf from d join b on b.token = d.token join idf on idf.token = d.token)
 """
 DUCK_OVERLAP = OVERLAP.format(tokens=rf"""d as (select distinct doc_id, lower({DUCK_WORDS}) as token from documents),
 b as (select distinct item_id, lower({DUCK_WORDS}) as token from benchmark)""")
@@ -126,7 +124,7 @@ b as (select distinct item_id, lower({DUCK_WORDS}) as token from benchmark)""")
 
 def shared_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, item_id, token, idf) of every token that a document shares with a benchmark item, and the
-    weights of all tokens: (doc_id, dw) and (item_id, bw). The SQL alone wants a rare token among them."""
+    weights of all tokens: (doc_id, dw) and (item_id, bw)."""
     found = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)), F.lower))).alias("token")
     d, b = table(spark, sf_dir, "documents").select("doc_id", found), table(spark, sf_dir, "benchmark").select("item_id", found)
     n = table(spark, sf_dir, "documents").where(F.col("text").rlike(LETTERS)).agg(F.countDistinct("doc_id").alias("n"))

@@ -11,13 +11,10 @@ from .registry import Catalog, run_sql
 
 catalog = Catalog()
 
-#: The SQL alone compares vectors of equal label and equal id modulo this, about one pair in 16. The queries
-#: compare all vectors of a label, so that they have rows the SQL does not give (see README, known limits).
-BLOCK = 16
-DUCK_PAIRS = f"""
-v as (select vec_id, label, vec_id % {BLOCK} as blk, cast(embedding as double[]) as x from embeddings where label is not null),
-u as (select vec_id, label, blk, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)))) as x from v),
-p as (select a.vec_id as l, b.vec_id as r, round(greatest(-1, least(1, list_dot_product(a.x, b.x))), 6) as score from u a join u b on a.label = b.label and a.blk = b.blk and a.vec_id <> b.vec_id)"""
+DUCK_PAIRS = """
+v as (select vec_id, label, cast(embedding as double[]) as x from embeddings where label is not null),
+u as (select vec_id, label, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)))) as x from v),
+p as (select a.vec_id as l, b.vec_id as r, round(greatest(-1, least(1, list_dot_product(a.x, b.x))), 6) as score from u a join u b on a.label = b.label and a.vec_id <> b.vec_id)"""
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
