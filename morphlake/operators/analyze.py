@@ -18,7 +18,6 @@ KEY = ["form", "known", "long", "role"]
 MORPHOLOGY = ["kind", "declension", "variant", "case", "number", "gender", "degree", "numeral_type", "tense", "voice", "mood", "person", "governs"]
 ADDONS = ["prefix_id", "suffix_id", "tackon_id"]
 ROW = [*KEY, "stage", "lexeme_id", "rule_id", "stem_key", "slot", "stem_begin", "stem", "ending", *ADDONS, *MORPHOLOGY, "quantity_match"]
-LONGEST_ENDING = 7
 INDECLINABLE = 9
 #: Stem key to degree and to kind of numeral, where the lexeme leaves them open.
 DEGREE_OF_KEY = {0: "POS", 1: "POS", 2: "POS", 3: "COMP", 4: "SUPER"}
@@ -151,10 +150,11 @@ class Core:
         self.book, self.options = book, options
         self.entries = book.stems.join(book.lexemes, "lexeme_id")
         self.longest = {t: book.longest(t, "fix") for t in ("prefixes", "suffixes", "tackons")}
+        self.longest["rules"] = book.longest("rules", "ending")
 
     def candidates(self, questions: DataFrame) -> DataFrame:
         """Every way to cut a form into a stem and the ending of a rule."""
-        n = F.explode(F.sequence(F.lit(0), F.least(F.lit(LONGEST_ENDING), F.length("form")))).alias("ending_size")
+        n = F.explode(F.sequence(F.lit(0), F.least(F.lit(self.longest["rules"]), F.length("form")))).alias("ending_size")
         cut = questions.select(*KEY, n).withColumns({"ending": F.expr("right(form, ending_size)"), "rest": F.expr("left(form, length(form) - ending_size)")})
         return cut.join(self.book.rules, "ending")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, engine, evidence, lookup, models, relational
+from . import corpus, engine, evidence, lookup, models, readings, relational
 
-MODULES = (corpus, lookup, relational, evidence, models, engine)
+MODULES = (corpus, lookup, relational, evidence, models, engine, readings)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
