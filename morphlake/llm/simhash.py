@@ -13,6 +13,8 @@ from .blocks import block_pairs
 from .common import lean, materialize, small_batches, table
 
 RADIUS = 4
+#: A fingerprint that more than one in so many rows have is joined apart.
+COMMON = 10_000
 SHINGLE = 4
 SEED = 42
 
@@ -136,8 +138,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, .
     small_batches(docs.sparkSession)
     # what follows reads the fingerprints several times: written once
     fps = materialize(fingerprints(docs, keep), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    links = fingerprint_links(distinct, radius)
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    links = fingerprint_links(distinct.select("fp"), radius)
     # nodes are the fingerprints; the component's smallest doc_id comes after
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # only fingerprints with a link are in comp; a root has no row of its own there
@@ -145,8 +147,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, .
     rooted = materialize(rooted.union(rooted.select(F.col("root").alias("fp"), "root")).distinct(), "rooted")
     least = rooted.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("low"))
     linked = rooted.join(least, "root").select("fp", "root", "low")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return fps.join(ids, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["root"] * root)
+    ids = distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    ids = materialize(ids, "ids")
+    # a fingerprint of many copies would be one task of the join: these, at most COMMON of them, are sent out to the rows
+    most = F.lit(max(1000, (distinct.agg(F.sum("copies").alias("n")).first()["n"] or 0) // COMMON))
+    common, others = ids.where(F.col("copies") > most), ids.where(F.col("copies") <= most)
+    rare = fps.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(others, "fp")
+    return fps.join(F.broadcast(common), "fp").unionByName(rare).select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["root"] * root)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
