@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, engine, evidence, lookup, models, parsing, readings, relational, review
+from . import choices, corpus, engine, evidence, lookup, models, parsing, readings, relational, review
 
-MODULES = (corpus, lookup, relational, evidence, models, engine, readings, review, parsing)
+MODULES = (corpus, lookup, relational, evidence, models, engine, readings, review, parsing, choices)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
