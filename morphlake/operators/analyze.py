@@ -118,13 +118,19 @@ def _observed(what: str, begin: str, size: str) -> Column:
     return F.expr(f"shiftright({what}, {begin}) & (shiftleft(1L, {size}) - 1L)")
 
 
-def with_quantity(rows: DataFrame, book: RuleBook, suffix: bool = False) -> DataFrame:
+def summed_masks(book: RuleBook) -> DataFrame:
+    """One row of masks (k, l) a subject; of inflections and suffixes whatever the slot."""
+    slot = F.when(F.col("subject") == "STEM", F.col("slot")).alias("slot")
+    return book.quantities.groupBy("subject", "subject_id", slot).agg(F.bit_or("known").alias("k"), F.bit_or("long").alias("l"))
+
+
+def with_quantity(rows: DataFrame, quantities: DataFrame, suffix: bool = False) -> DataFrame:
     """Drops rows whose stored vowel lengths contradict marked ones; adds quantity_match: unspecified
     without marks, exact if every mark is confirmed, else unknown. Stored masks are sparse: none is zero.
 
-    rows has stem_begin, stem_size (without the suffix), suffix_size and ending_size.
+    rows has stem_begin, stem_size (without the suffix), suffix_size and ending_size. quantities is of `summed_masks`.
     """
-    masks = lambda subject, key: book.quantities.where(F.col("subject") == subject).groupBy(*key).agg(F.bit_or("known").alias("k"), F.bit_or("long").alias("l"))
+    masks = lambda subject, key: quantities.where(F.col("subject") == subject).select(*key, "k", "l")
     stem = masks("STEM", ["subject_id", "slot"]).select(F.col("subject_id").alias("lexeme_id"), "slot", F.col("k").alias("sk"), F.col("l").alias("sl"))
     rule = masks("INFLECTION", ["subject_id"]).select(F.col("subject_id").alias("rule_id"), F.col("k").alias("rk"), F.col("l").alias("rl"))
     out = rows.join(stem, ["lexeme_id", "slot"], "left").join(rule, "rule_id", "left")
@@ -144,11 +150,16 @@ def with_quantity(rows: DataFrame, book: RuleBook, suffix: bool = False) -> Data
 
 
 class Core:
-    """The lookups over one rule book. Each method takes distinct questions and returns rows of ROW."""
+    """The lookups over one rule book. Each method takes distinct questions and returns rows of ROW.
+
+    Every lookup writes its rows before the next one is planned: the driver holds what a plan sends out, and its
+    compiled code, of one lookup at a time.
+    """
 
     def __init__(self, book: RuleBook, options: Options = Options()):  # noqa: B008
         self.book, self.options = book, options
-        self.entries = book.stems.join(book.lexemes, "lexeme_id")
+        self.entries = materialize(book.stems.join(book.lexemes, "lexeme_id"), "entries")
+        self.quantities = materialize(summed_masks(book).coalesce(1), "masks")
         self.longest = {t: book.longest(t, "fix") for t in ("prefixes", "suffixes", "tackons")}
         self.longest["rules"] = book.longest("rules", "ending")
 
@@ -169,7 +180,7 @@ class Core:
                 df = df.withColumn(c, F.lit(0))
         df = df.withColumn("stem_size", F.length("stem"))
         if quantity:
-            df = with_quantity(df, self.book, suffix)
+            df = with_quantity(df, self.quantities, suffix)
         else:
             df = df.withColumn("quantity_match", F.when(F.col("known") == 0, "unspecified").otherwise("unknown"))
         shown = F.concat("stem", F.col("fix")) if suffix else F.col("stem")
@@ -222,10 +233,11 @@ class Core:
         hit = cut.join(self.book.prefixes.where("tickon"), "fix").withColumn("base", F.expr("substr(form, k + 1)")).where(self._connects("base"))
         hit = hit.where("length(base) >= 3").where(F.col("base").rlike("^[qc]u")).select(*KEY, F.col("addon_id").alias("prefix_id"), "base", "k")
         bases = hit.select(F.col("base").alias("form"), F.lit(0).cast("long").alias("known"), F.lit(0).cast("long").alias("long"), "role").distinct()
+        bases = materialize(bases, "tickon_bases")
         rows = self.qu_pronouns(self.candidates(bases))
         if self.options.packons:
             rows = rows.unionByName(self.packons(bases))
-        rows = rows.drop("known", "long", "prefix_id", "stem_begin", "stage").withColumnRenamed("form", "base")
+        rows = materialize(rows, "tickon_rows").drop("known", "long", "prefix_id", "stem_begin", "stage").withColumnRenamed("form", "base")
         met = hit.join(rows, ["base", "role"]).withColumns({"stage": F.lit("tickon"), "stem_begin": F.col("k")})
         met = met.withColumn("quantity_match", F.when(F.col("known") == 0, "unspecified").otherwise("unknown"))
         return first_success(met, KEY, ["prefix_id"]).select(*ROW)
@@ -266,19 +278,19 @@ class Core:
         ends = marked.where("length(rest) > 1").select("*", k).withColumn("fix", F.expr("right(rest, k)"))
         hit = ends.join(self.book.suffixes.withColumnRenamed("addon_id", "suffix_id").drop("addon_meaning"), "fix").withColumn("base", F.expr("left(rest, length(rest) - k)"))
         hit = hit.where((F.col("connector") == "") | (F.right(F.col("base"), F.lit(1)) == F.col("connector"))).where("coexists or not has_regular").drop("connector")
-        hit = hit.withColumn("suffix_size", F.col("k")).drop("k", "rest")
+        hit = materialize(hit.withColumn("suffix_size", F.col("k")).drop("k", "rest"), "suffix_cuts")
         known = self.entries.select(F.col("stem").alias("base")).distinct()
         stemmed = hit.join(known, "base", "left_semi").select(*KEY, "suffix_id").distinct()
         entries = self.entries.withColumnRenamed("stem", "base").withColumnRenamed("gender", "lex_gender").withColumnRenamed("degree", "lex_degree")
         plain = hit.join(entries, "base").where(self._suffix_match())
-        rows = self._rows(plain.withColumn("stem", F.col("base")), "suffix", suffix_morphology(), suffix=True)
+        rows = materialize(self._rows(plain.withColumn("stem", F.col("base")), "suffix", suffix_morphology(), suffix=True), "suffixed")
         if not (self.options.prefixes and self.options.productive):
             return rows
         left = hit.where("not has_regular").join(stemmed, [*KEY, "suffix_id"], "left_anti")
         both = self._prefixed(left.withColumnRenamed("base", "inner"), "inner").drop("inner").where(self._prefix_root("target_pos"))
         found = both.join(entries, "base").where(self._suffix_match()).withColumns({"stem": F.col("base"), "stem_begin": F.col("k")})
-        more = first_success(self._rows(found, "prefix_suffix", suffix_morphology(), suffix=True), [*KEY, "suffix_id"], ["prefix_id"])
-        return rows.unionByName(more)
+        more = materialize(self._rows(found, "prefix_suffix", suffix_morphology(), suffix=True), "both")
+        return rows.unionByName(first_success(more, [*KEY, "suffix_id"], ["prefix_id"]))
 
     @staticmethod
     def _suffix_match() -> Column:
@@ -298,8 +310,8 @@ class Core:
         cut = materialize(self.candidates(questions), "candidates")
         direct = self.uniques(questions).unionByName(self.qu_pronouns(cut))
         if o.tickons:
-            direct = direct.unionByName(self.tickons(questions.where("role = 'w'")))
-        regular = self.regular(cut)
+            direct = direct.unionByName(materialize(self.tickons(questions.where("role = 'w'")), "tickons"))
+        regular = materialize(self.regular(cut), "regular")
         rows = materialize(direct.unionByName(regular), "direct")
         if not o.productive:
             return rows
@@ -312,7 +324,8 @@ class Core:
             open_ = open_.join(prefixed.select(*KEY).distinct(), KEY, "left_anti")
         if o.suffixes:
             adverb = rows.where("stage = 'regular' and kind = 'ADV'").select(*KEY).distinct()
-            rows = rows.unionByName(self.suffixes(open_.join(adverb, KEY, "left_anti"), has_regular))
+            open_ = materialize(open_.join(adverb, KEY, "left_anti"), "open")
+            rows = rows.unionByName(self.suffixes(open_, has_regular))
         return rows
 
     def _tackons(self, questions: DataFrame, bases: DataFrame, enclitic: bool, stage: str) -> DataFrame:
@@ -340,22 +353,22 @@ class Core:
         """All rows of distinct (form, known, long), sorted out and without duplicates."""
         o = self.options
         questions = forms.select("form", "known", "long", F.lit("w").alias("role")).distinct()
-        asked = questions.unionByName(self.bases(questions)) if o.tackons else questions
+        questions = materialize(questions, "asked")
+        asked = materialize(questions.unionByName(self.bases(questions)), "asked_bases") if o.tackons else questions
         found = materialize(self.words(asked), "words")
         rows = found.where("role = 'w'")
         if o.packons:
-            rows = rows.unionByName(self.packons(questions))
+            rows = rows.unionByName(materialize(self.packons(questions), "packons"))
         if o.tackons:
-            rows = materialize(rows, "rows")
-            strength = rows.groupBy(*KEY).agg(F.bool_or(F.col("suffix_id").isNull()).alias("direct_hit"))
+            strength = materialize(rows.groupBy(*KEY).agg(F.bool_or(F.col("suffix_id").isNull()).alias("direct_hit")), "strength")
             marked = questions.join(strength, KEY, "left").withColumn("direct_hit", F.coalesce("direct_hit", F.lit(False)))
             base_rows = found.where("role = 'b'")
             enclitic = materialize(self._tackons(marked, base_rows, True, "tackon"), "enclitics")
             # an enclitic on a base beats rows that all come by suffixes
             weak = strength.where("not direct_hit").join(enclitic.select(*KEY).distinct(), KEY, "left_semi").select(*KEY)
-            rows = rows.join(weak, KEY, "left_anti").unionByName(enclitic)
+            rows = materialize(rows.join(weak, KEY, "left_anti").unionByName(enclitic), "rows")
             empty = questions.join(rows.select(*KEY).distinct(), KEY, "left_anti")
-            rows = rows.unionByName(self._tackons(empty, base_rows, False, "other_tackon"))
+            rows = rows.unionByName(materialize(self._tackons(empty, base_rows, False, "other_tackon"), "others"))
         return materialize(sort_out(rows), "analyses")
 
 

@@ -12,6 +12,8 @@ from .recover import QUESTION, Analyzer
 from .rulebook import RuleBook
 
 TOKENS = "line_id long, pos int, text string, byte_begin int, byte_end int, boundary int, status string, normalized string, orthography string, lookup string, known long, long long, titled boolean"
+#: Spellings that a task remembers at once.
+REMEMBERED = 200_000
 
 
 def tokens(lines: DataFrame) -> DataFrame:
@@ -34,6 +36,32 @@ def tokens(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("line_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
 
 
+def forms(lines: DataFrame) -> DataFrame:
+    """Distinct (form, known, long) of the tokens of all lines that can be looked up; each task works out a
+    spelling once, and hands on each form once."""
+
+    def run(batches):
+        seen, given = set(), set()
+        for b in batches:
+            rows = []
+            for text in b.column(0).to_pylist():
+                for t in tokenize((text or "").rstrip("\r\n")):
+                    if t.text in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                        given.clear()
+                    seen.add(t.text)
+                    s = lex(t.text)
+                    if s.status == "ok" and (row := (s.lookup, s.known, s.long)) not in given:
+                        given.add(row)
+                        rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["form", "known", "long"])
+
+    return lines.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "form string, known long, long long").distinct()
+
+
 def analyze_lines(lines: DataFrame, book: RuleBook, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(tokens, readings): readings are of the distinct words, to be joined on QUESTION."""
     found = tokens(lines)

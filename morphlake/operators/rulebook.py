@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 #: Columns of each table. Grammatical values are short upper-case names; X is unknown or any. Keys, endings
 #: and fixes are lower case with j as i and v as u.
 SCHEMAS = {
@@ -61,6 +63,10 @@ class RuleBook:
             df = df.sort("stem", "lexeme_id", "slot") if f.name == "stems" else df
             df.write.mode("overwrite").parquet(f"{path}/{f.name}")
 
+    def kept(self) -> RuleBook:
+        """The same tables in the shared folder: plans then know how small they are, and send them out without a shuffle."""
+        return RuleBook(**{f.name: materialize(getattr(self, f.name).coalesce(1), f.name) for f in fields(self)})
+
     def longest(self, table: str, column: str) -> int:
         """Length of the longest text of a column: what a plan explodes to."""
         return getattr(self, table).agg(F.max(F.length(column))).first()[0] or 0

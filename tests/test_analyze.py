@@ -173,3 +173,23 @@ def test_dictionary(spark, book):
     assert {(r["stem"], r["after"]) for r in near} == {("puell", False), ("puer", True)}
     rows = spark.createDataFrame([("a", "A", "X"), ("a", "F", "X"), ("b", "F", "X")], "q string, freq string, age string")
     assert sorted((r["q"], r["freq"]) for r in dictionary.swept(rows, ["q"], ["F"], ["H"]).collect()) == [("a", "A"), ("b", "F")]
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No lookup is planned together with the next ones: the driver holds few tables that are sent out at once."""
+    from morphlake.operators import analyze, lines
+
+    joins = {}
+
+    def counted(df, name, write=analyze.materialize):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return write(df, name)
+
+    monkeypatch.setattr(analyze, "materialize", counted)
+    text = spark.createDataFrame([(1, "puella puella, amicusque Puella"), (2, None), (3, "x1 pu\u0113lla")], "line_id long, text string")
+    forms = lines.forms(text)
+    want = lines.tokens(text).where("status = 'ok'").selectExpr("lookup as form", "known", "long").distinct()
+    assert sorted(map(tuple, forms.collect())) == sorted(map(tuple, want.collect()))
+    rows = analyze.Core(rulebook.RuleBook.of_rows(spark, grammar.rows()).kept()).analyze(forms)
+    assert {r["form"] for r in rows.select("form").collect()} == {"puella", "amicusque"}
+    assert max(joins.values()) <= 15, joins
