@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.5
 COPY = 0.5
 #: Pages, and characters, that meet in one suffix array.
 CHUNK_PAGES, CHUNK_CHARS = 256, 16_000_000
-#: Hosts of several chunks, up to which a task gets the list of them.
+#: Hosts of several chunks, up to which a task gets the list of them and of what they repeat.
 HOT_HOSTS = 100_000
 
 #: Zones of a block, the better the higher.
@@ -257,19 +258,34 @@ def repeated_cover(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages:
     return np.cumsum(step[:-1]) > 0
 
 
+def needed(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks that may be main text: those in article, main or content elements, of a page without any all
+    that no boilerplate element holds."""
+    low = CONTENT if any(z >= CONTENT for z, _ in found) else LOOSE
+    return [(z, text) for z, text in found if z >= low]
+
+
+def _cleaned(blocks_: list[tuple[int, list[str]]], usual: np.ndarray, strict: np.ndarray) -> str:
+    """A page's needed blocks without repeated runs: inside an article `strict` ones, elsewhere `usual` ones. A page
+    whose article, main and content elements are mostly repeated is a copy and loses nothing."""
+    if usual.any():
+        inside = np.repeat([z == ARTICLE for z, _ in blocks_], [len(b) for _, b in blocks_])
+        gone = np.where(inside, strict, usual)
+        if blocks_[0][0] < CONTENT or gone.mean() <= COPY:
+            return " ".join(w for w, g in zip(chain.from_iterable(b for _, b in blocks_), gone.tolist(), strict=True) if not g)
+    return " ".join(chain.from_iterable(b for _, b in blocks_))
+
+
 def main_text(pages: list[list[tuple[int, str]]]) -> list[str]:
     """The main text of each page of one host.
 
-    A page with blocks in article, main or content elements has these, another page all blocks that no
-    boilerplate element holds. Of their tokens go the runs that the host's suffix array finds on enough distinct
+    Of the tokens of the needed blocks go the runs that the host's suffix array finds on enough distinct
     pages; inside an article that takes more pages, as several articles may quote one passage. Unique runs stay
-    where they are. A page whose article, main and content elements are mostly repeated is a copy and loses nothing.
+    where they are.
     """
     words: dict[str, int] = {}
-    kept, streams = [], {}
-    for found in pages:
-        low = CONTENT if any(z >= CONTENT for z, _ in found) else LOOSE
-        kept.append([(z, text.split()) for z, text in found if z >= low])
+    streams: dict[tuple, int] = {}
+    kept = [[(z, text.split()) for z, text in needed(found)] for found in pages]
     ids = [[words.setdefault(w, len(words)) for _, b in blocks_ for w in b] for blocks_ in kept]
     sizes = [len(x) for x in ids]
     stream = np.array([streams.setdefault(tuple(x), len(streams)) for x in ids], np.int64)
@@ -277,28 +293,58 @@ def main_text(pages: list[list[tuple[int, str]]]) -> list[str]:
     page = np.repeat(np.arange(len(pages)), sizes)
     usual = repeated_cover(tokens, page, stream=stream)
     strict = usual if not usual.any() else repeated_cover(tokens, page, RUN, ARTICLE_PAGES, ARTICLE_SHARE, stream)
-    out, at = [], 0
-    for blocks_, size in zip(kept, sizes, strict=True):
-        if not usual[at : at + size].any():
-            out.append(" ".join(chain.from_iterable(b for _, b in blocks_)))
-            at += size
-            continue
-        gone = np.concatenate([(strict if z == ARTICLE else usual)[k : k + len(b)] for k, (z, b) in zip(at + np.cumsum([0, *(len(b) for _, b in blocks_)]), blocks_, strict=False)])
-        if blocks_[0][0] >= CONTENT and gone.mean() > COPY:
-            gone[:] = False
-        out.append(" ".join(w for w, g in zip(chain.from_iterable(b for _, b in blocks_), gone.tolist(), strict=True) if not g))
-        at += size
-    return out
+    ends = np.cumsum([0, *sizes])
+    return [_cleaned(b, usual[i:j], strict[i:j]) for b, i, j in zip(kept, ends[:-1], ends[1:], strict=True)]
+
+
+def windows(text: list[str]) -> np.ndarray:
+    """A 64-bit hash of each run of RUN tokens of one page."""
+    if len(text) < RUN:
+        return np.zeros(0, np.int64)
+    ids: dict[str, int] = {}
+    at = [ids.setdefault(w, len(ids)) for w in text]
+    own = np.fromiter((int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in ids), np.uint64, len(ids))[at]
+    h = np.zeros(len(text) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) + own[k : k + len(h)]
+    return h.view(np.int64)
+
+
+def frequent_windows(pages: list[list[str]]) -> np.ndarray:
+    """Hashes of the runs of RUN tokens that stand on SHARE of these distinct pages or more, by their suffix array. What stands
+    on that share of a host's pages stands on it in one chunk of them at least."""
+    words: dict[str, int] = {}
+    tokens = np.fromiter((words.setdefault(w, len(words)) for p in pages for w in p), np.int64)
+    # a little less than the share, so that no rounding loses a run
+    cover = repeated_cover(tokens, np.repeat(np.arange(len(pages)), [len(p) for p in pages]), RUN, 1, SHARE * (1 - 1e-9))
+    out, at = [np.zeros(0, np.int64)], 0
+    for p in pages:
+        if len(p) >= RUN:  # all windows that lie in covered tokens: those asked for among them
+            whole = np.lib.stride_tricks.sliding_window_view(cover[at : at + len(p)], RUN).all(axis=1)
+            out.append(windows(p)[whole])
+        at += len(p)
+    return np.unique(np.concatenate(out))
+
+
+def _packed(found: list[tuple[int, str]]) -> bytes:
+    return "\0".join([*(str(z) for z, _ in found), *(t.replace("\0", "�") for _, t in found)]).encode()
+
+
+def _unpacked(raw: bytes) -> list[tuple[int, str]]:
+    parts = raw.decode().split("\0")
+    k = len(parts) // 2
+    return [(int(z), x) for z, x in zip(parts[:k], parts[k:], strict=True)] if k else []
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text (empty if none) and n_chars of each row.
 
-    Null html is empty. Pages meet by host (null and odd urls: one host of their own); a host of more
-    than CHUNK_PAGES pages is dealt by the hash of its pages into chunks of about that many, so that no task holds
-    a whole large host: a run on a share of its pages is on about that share of each chunk. Repeated
-    rows are pages of their own, but count as one page where they repeat a run. A very long page is parsed and searched
-    whole, in time in proportion to it. An empty table gives an empty one. Other columns are ignored, whatever their names.
+    Null html is empty. Pages meet by host (null and odd urls: one host of their own). A host of more
+    than CHUNK_PAGES pages is dealt into chunks of about that many, so that no task holds a whole large host: the
+    chunks' suffix arrays tell which runs may be on enough pages, then these are counted over all pages of the host, so that
+    the result is that of one array over all. Repeated rows are pages of their own, but count as one page where they repeat
+    a run. A very long page is parsed and searched whole, in time in proportion to it. An empty table gives an
+    empty one. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
@@ -306,41 +352,99 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         packer = zstandard.ZstdCompressor(level=1)
+        seen = set()
         for b in batches:
-            data, chars = [], []
-            for h in b.column(3).to_pylist():
-                found = blocks(h.decode("utf-8", "replace")) if h else []
-                raw = "\0".join([*(str(z) for z, _ in found), *(t.replace("\0", "�") for _, t in found)]).encode()
-                data.append(packer.compress(raw))
-                chars.append(len(raw))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(data, pa.binary()), pa.array(chars, pa.int64())], names=["page_id", "url", "host", "data", "chars"])
+            data, stream, fresh = [], [], []
+            for host_, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found = needed(blocks(h.decode("utf-8", "replace"))) if h else []
+                data.append(packer.compress(_packed(found)))
+                digest = blake2b(" ".join(t.replace("\0", "�") for _, t in found).encode(), digest_size=8).digest()
+                stream.append(int.from_bytes(digest, "little", signed=True))
+                fresh.append(bool(found) and (host_, digest) not in seen)
+                seen.add((host_, digest))
+            made = [pa.array(data, pa.binary()), pa.array(stream, pa.int64()), pa.array(fresh, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["page_id", "url", "host", "data", "stream", "fresh"])
+
+    def texts_of(column):
+        packer = zstandard.ZstdDecompressor()
+        return [_unpacked(packer.decompress(d)) for d in column.to_pylist()]
+
+    def table_of(t, texts):
+        return {"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     keyed = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("binary").alias("html"))
     # chunks are told by the raw sizes, before anything is parsed
     sizes = keyed.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / CHUNK_PAGES, F.sum(F.octet_length("html")) / CHUNK_CHARS, F.lit(1))).cast("int").alias("chunks"))
-    parsed = keyed.mapInArrow(lean(parse), f"page_id {kinds['page_id']}, url {kinds['url']}, host string, data binary, chars long")
     hot = materialize(sizes.where("chunks > 1"), "hot")
-    few = hot.count() <= HOT_HOSTS
-    # a join by shuffle would deal pages by host alone; where hot hosts are too many to send out, it is dealt anew
-    joined = parsed.join(F.broadcast(hot) if few else hot, "host", "left")
-    dealt = joined.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", "data"), F.coalesce("chunks", F.lit(1))).cast("int"))
-
-    if not few:
-        dealt = dealt.repartition("host", "chunk")
+    sent = F.broadcast if hot.count() <= HOT_HOSTS else lambda df: df
+    order = ["page_id", "url", "host", "html"]
+    parsed = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, data binary, stream long, fresh boolean"
+    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
 
     def host_text(t):
-        packer = zstandard.ZstdDecompressor()
-        found = []
-        for d in t.column("data").to_pylist():
-            parts = packer.decompress(d).decode().split("\0")
-            k = len(parts) // 2
-            found.append([(int(z), x) for z, x in zip(parts[:k], parts[k:], strict=True)] if k else [])
-        texts = main_text(found)
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
-
-    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
-    return dealt.groupBy("host", "chunk").applyInArrow(host_text, schema)
+        return pa.table(table_of(t, main_text(texts_of(t.column("data")))))
+
+    small = keyed.join(sent(hot), "host", "left_anti").select(*order).mapInArrow(lean(parse), parsed)
+    done = small.groupBy("host").applyInArrow(host_text, schema)
+
+    large = keyed.join(sent(hot), "host", "left_semi").select(*order).mapInArrow(lean(parse), parsed)
+    large = materialize(large.withColumn("row", F.monotonically_increasing_id()), "pages")
+    # each text of a host counts once: of copies in several tasks the first row
+    copies = large.where("fresh").groupBy("host", "stream").agg(F.min("row").alias("owner"), F.count("*").alias("n"))
+    copies = materialize(copies, "copies")
+    twins = materialize(copies.where("n > 1").drop("n"), "twins")  # a table of its own size: mostly so few that they are sent out
+    once = large.where("fresh").join(twins, ["host", "stream"], "left").where("owner is null or owner = row")
+    total = materialize(copies.groupBy("host").agg(F.count("*").alias("total")), "totals")
+
+    def candidates(t):
+        found = frequent_windows([[w for _, x in p for w in x.split()] for p in texts_of(t.column("data"))])
+        return pa.table({"host": pa.array([t.column("host")[0].as_py()] * len(found), pa.string()), "h": pa.array(found, pa.int64())})
+
+    chunk = F.pmod(F.xxhash64("stream"), "chunks").cast("int").alias("chunk")
+    met = once.join(sent(hot), "host").select("host", chunk, "data").groupBy("host", "chunk").applyInArrow(candidates, "host string, h long")
+    may = materialize(met.groupBy("host").agg(F.collect_set("h").alias("may")), "candidates")
+
+    def count(batches):
+        counts, sets = {}, {}
+        for b in batches:
+            for host_, found, may_ in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2), strict=True):
+                if host_ not in sets:
+                    sets[host_] = np.sort(may_.values.to_numpy())
+                own = np.unique(windows([w for _, x in found for w in x.split()]))
+                for h in own[np.isin(own, sets[host_])].tolist():
+                    counts[host_, h] = counts.get((host_, h), 0) + 1
+        if counts:
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(counts.values(), pa.int64())], names=["host", "h", "n"])
+
+    counted = once.select("host", "data").join(sent(may), "host").mapInArrow(lean(count), "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
+    enough = lambda least, share: F.col("n") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("total")))
+    often = counted.join(sent(total), "host").where(enough(PAGES, SHARE))
+    strict = F.collect_list(F.when(enough(ARTICLE_PAGES, ARTICLE_SHARE), F.col("h"))).alias("strict")
+    often = materialize(often.groupBy("host").agg(F.collect_list("h").alias("usual"), strict), "repeated")
+
+    def page_text(batches):
+        sets = {}
+        for b in batches:
+            texts = []
+            for host_, found, u, s in zip(b.column("host").to_pylist(), texts_of(b.column("data")), b.column("usual"), b.column("strict"), strict=True):
+                if host_ not in sets:
+                    sets[host_] = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (u, s)]
+                kept = [(z, x.split()) for z, x in found]
+                own = windows([w for _, x in kept for w in x]) if len(sets[host_][0]) else np.zeros(0, np.int64)
+                covers = []
+                for runs in sets[host_]:
+                    step = np.zeros(sum(len(x) for _, x in kept) + 1, np.int64)
+                    starts = np.flatnonzero(np.isin(own, runs))
+                    step[starts] += 1
+                    step[starts + RUN] -= 1
+                    covers.append(np.cumsum(step[:-1]) > 0)
+                texts.append(_cleaned(kept, *covers))
+            yield pa.RecordBatch.from_pydict(table_of(b, texts))
+
+    cleaned = large.select("page_id", "url", "host", "data").join(sent(often), "host", "left").mapInArrow(lean(page_text), schema)
+    return done.unionByName(cleaned)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,17 @@ def test_time_grows_with_the_page(page):
     began = time.perf_counter()
     pages.blocks(page)
     assert time.perf_counter() - began < 5
+
+
+def test_chunks_do_not_change_texts(spark, monkeypatch):
+    """A host dealt into chunks of 10 or 25 pages gives what one array over all its pages gives, at the very share; copies count once."""
+    often, seldom, quoted = (" ".join(f"{x}{k}" for k in range(9)) for x in ("often", "seldom", "quoted"))
+    html = [f"<p>body{k} has its own words {k * k}</p>" + (f"<p>{often}</p>" if k < 12 else "") + (f"<p>{seldom}</p>" if 20 <= k < 31 else "") for k in range(50)]
+    html += [f"<article><p>piece{k} stands {k}</p>{f'<p>{quoted}</p>' if k < 3 else ''}</article>" for k in range(10)] + [html[25]] * 8 + ["", "<nav>menu</nav>"]
+    want = sorted(zip(range(len(html)), pages.main_text([pages.blocks(p) for p in html]), strict=True))
+    assert often not in " ".join(t for _, t in want) and sum(seldom in t for _, t in want) == 19 and sum(quoted in t for _, t in want) == 3
+    table = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(html)] + [(99, "http://other/", html[0])], "page_id long, url string, html string")
+    for size in (10, 25):
+        monkeypatch.setattr(pages, "CHUNK_PAGES", size)
+        got = sorted((r["page_id"], r["text"]) for r in pages.extract_pages(table).collect())
+        assert got == [*want, (99, f"body0 has its own words 0 {often}")]
