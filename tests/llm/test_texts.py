@@ -375,6 +375,24 @@ def test_order_of_words_counts(spark):
     assert (b > a).all()
 
 
+def test_model_is_of_whole_words(spark, docs):
+    """Words that only share an ending are different words, and the model spread over chunks is that of one memory."""
+    import pyarrow as pa
+
+    plain, other = ("the walking trainer " * 3 + "was painting lanterns ") * 3, ("the talking strainer " * 3 + "was pointing patterns ") * 3
+    rows = [(k, f"{plain} text{k}", "en") for k in range(40)] + [(99, f"{other} text99", "en")]
+    nats = {r["doc_id"]: r["nats"] for r in rules.rule_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert nats[99] > max(v for d, v in nats.items() if d != 99) + 0.3
+    assert len({rules.unit_of(f"{a}{b}ning") for a in "abcdefghij" for b in range(500)}) == 5000
+
+    rows = docs.select("doc_id", F.xxhash64("lang").alias("lang"), "text").collect()
+    t = rules.gram_counts(docs.select(F.xxhash64("lang").alias("lang"), "text")).toArrow()
+    measures = rules.Measures(rules.KneserNey.fit(*(t.column(k).to_numpy() for k in range(3))))
+    want = measures.of(pa.array([(r["text"] or "").encode() for r in rows]), np.array([r["lang"] for r in rows]))["nats"]
+    got = {r["doc_id"]: r["nats"] for r in rules.rule_verdicts(docs.repartition(5)).collect()}
+    assert all(math.isclose(got[r["doc_id"]], x, rel_tol=1e-9, abs_tol=1e-12) for r, x in zip(rows, want.tolist(), strict=True))
+
+
 # mixing
 
 
