@@ -8,6 +8,7 @@ gets them back from tasks that each hold a range of the hashes. What travels is
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import itertools
 import struct
@@ -330,6 +331,18 @@ def bucketed(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """Inside, the shuffle files of each query go when it has ended: what it wrote is all that is read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Chunk:
     """A chunk's words and distinct bigrams: of each the hash, and their order by it."""
 
@@ -340,15 +353,15 @@ class Chunk:
         self.keys = unpack_keys(row["words"].as_py())
         self.events = np.where(self.n > 0, self.n + 1, 0)
         self.base = np.cumsum(self.width) - self.width
-        self.cur = unpack(row["tokens"].as_py()) + np.repeat(self.base[self.slot], self.events)
+        self.cur = (unpack(row["tokens"].as_py()) + np.repeat(self.base[self.slot], self.events)).astype(np.int32)
         self.before = before_of(self.cur, self.events)
         self.own = np.repeat(np.arange(len(self.langs)), self.width)
 
     def bigrams(self, inverse: bool = False) -> None:
-        packed = self.before * max(1, len(self.keys)) + self.cur
+        packed = self.before.astype(np.int64) * max(1, len(self.keys)) + self.cur
         found = np.unique(packed, return_inverse=inverse, return_counts=not inverse)
         self.met = found[1]  # how often, or of each word its bigram
-        self.v, self.w = np.divmod(found[0], max(1, len(self.keys)))
+        self.v, self.w = (x.astype(np.int32) for x in np.divmod(found[0], max(1, len(self.keys))))
         self.h = mixed(self.keys[self.v], self.keys[self.w])
         self.order = np.argsort(self.h)
 
@@ -466,6 +479,7 @@ def scored(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left)
         c.bigrams(inverse=True)
+        c.cur = c.before = c.h = None  # large
         asks = right.column("sums").is_null()
         n = c.answered(right.filter(asks)) // 2
         stats, sums = np.zeros((STATS, len(c.keys)), np.int64), np.zeros((len(c.langs), 10), np.int64)
@@ -498,24 +512,25 @@ def rule_verdicts(docs: DataFrame) -> DataFrame:
     languages are a language. Very long texts are measured whole. Repeated rows are counted and measured each. An empty table
     gives an empty one. Columns other than doc_id, text and lang are ignored, whatever their names.
     """
-    rows = docs.select("doc_id", F.xxhash64("lang").alias("lang"), "text")
+    spark, rows = docs.sparkSession, docs.select("doc_id", F.xxhash64("lang").alias("lang"), "text")
     chunks, name = bucketed(chunked(rows))
     events, kinds = (int(x or 0) for x in chunks.agg(F.sum("events"), F.sum("kinds")).first())
-    pairs = materialize(bigram_counts(chunks, bits_for(events, 6)), "bigrams")
-    words = materialize(word_counts(chunks, pairs, bits_for(kinds, 5)), "words")
-
-    # a row a language, sent out to the texts unless there are very many: else one language would be one task
-    sums = materialize(words.where("chunk is null").groupBy("lang").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(10)]).alias("sums")), "languages")
-    few = sums.count() <= MANY
-    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    told = words.where("chunk is not null").drop("sums").join(sent(sums), "lang").select("chunk", "bucket", "lang", "data", "sums")
-    answers = pairs.select("chunk", "bucket", F.lit(None).cast("long").alias("lang"), "data", F.lit(None).cast("array<long>").alias("sums")).unionAll(told)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    made = materialize(scored(chunks, answers).withColumn("base_failed", failed), "measures")
+    with cleaned(spark):
+        pairs = materialize(bigram_counts(chunks, bits_for(events, 6)), "bigrams")
+        words = materialize(word_counts(chunks, pairs, bits_for(kinds, 5)), "words")
+
+        # a row a language, sent out to the texts unless there are very many: else one language would be one task
+        sums = materialize(words.where("chunk is null").groupBy("lang").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(10)]).alias("sums")), "languages")
+        few = sums.count() <= MANY
+        sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+        told = words.where("chunk is not null").drop("sums").join(sent(sums), "lang").select("chunk", "bucket", "lang", "data", "sums")
+        answers = pairs.select("chunk", "bucket", F.lit(None).cast("long").alias("lang"), "data", F.lit(None).cast("array<long>").alias("sums")).unionAll(told)
+        failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+        made = materialize(scored(chunks, answers).withColumn("base_failed", failed), "measures")
     for done in (pairs, words):
         release(done)
-    docs.sparkSession.sql(f"drop table {name}")
-    _drop(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/morphlake/{name}")
+    spark.sql(f"drop table {name}")
+    _drop(spark, f"{shared_dir(spark)}/morphlake/{name}")
 
     passed = made.where("not base_failed")
     middle = materialize(passed.groupBy("lang").agg(F.percentile_approx("nats", 0.5, 10_000).alias("mid")), "middle")
