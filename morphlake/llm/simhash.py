@@ -15,6 +15,8 @@ from .common import lean, materialize, small_batches, table
 RADIUS = 4
 #: A fingerprint that more than one in so many rows have is joined apart.
 COMMON = 10_000
+#: Distinct fingerprints of a task that deals them to the covering tables: so many times 31 rows it aggregates in memory.
+SPREAD = 8_000
 SHINGLE = 4
 SEED = 42
 
@@ -98,6 +100,19 @@ def spanning_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def table_spots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(tbl, bucket, fp): the bucket of each fp in every covering table.
+
+    A file of distinct fingerprints holds millions of them, and each becomes a row a table: they are dealt out first,
+    so that what a task aggregates does not depend on the size of the files.
+    """
+    masks = [_signed(m) for m in covering_masks(radius)]
+    dealt = distinct.select("fp").repartition(max(1, -(-distinct.count() // SPREAD)), "fp")
+    return dealt.select("fp", F.posexplode(F.array([F.lit(m) for m in masks])).alias("tbl", "mask")).select(
+        F.col("tbl").cast("byte").alias("tbl"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp"
+    )
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at `radius` or fewer bits, enough of them to connect all.
 
@@ -105,10 +120,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     first aggregated to a count, a smallest and a largest member: that settles buckets of one or two.
     Members of larger buckets meet in bounded blocks, where a search verifies distances exactly.
     """
-    masks = [_signed(m) for m in covering_masks(radius)]
-    spots = distinct.select("fp", F.posexplode(F.array([F.lit(m) for m in masks])).alias("tbl", "mask")).select(
-        F.col("tbl").cast("byte").alias("tbl"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp"
-    )
+    spots = table_spots(distinct, radius)
     found = spots.groupBy("tbl", "bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     found = materialize(found, "buckets")
     two = found.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")

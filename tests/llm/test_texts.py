@@ -94,6 +94,14 @@ def test_links_within_dense_and_sparse_groups(spark):
     assert components(fps, pairs) == components(fps, want)
 
 
+def test_fingerprints_of_one_file_are_dealt_to_tasks(spark):
+    distinct = spark.range(0, 3 * simhash.SPREAD, 1, 1).select(F.xxhash64("id").alias("fp"))
+    spots = simhash.table_spots(distinct)
+    tasks = [r["count"] for r in spots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3 * simhash.SPREAD * 31 and max(tasks) <= 1.2 * simhash.SPREAD * 31
+    assert spots.groupBy("fp").agg(F.countDistinct("tbl").alias("n")).where("n = 31").count() == 3 * simhash.SPREAD
+
+
 # language ID
 
 
